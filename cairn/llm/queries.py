@@ -31,10 +31,17 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.pii import report
+
+    return report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op7_sharding": op7_sharding,
     "op9_near_dedup": op9_near_dedup,
+    "op10_pii": op10_pii,
 }
 
 ORACLES: dict[str, str] = {
