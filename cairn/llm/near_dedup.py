@@ -7,6 +7,9 @@ the XOR of two bitmaps keeps a bit only for samples in which the documents diffe
 estimates how many those are. A pair whose estimate lies ``sigmas`` standard deviations beyond the threshold
 is dropped; what remains is confirmed by intersecting the full sets.
 
+A second bitmap folds the whole set instead of samples of it. The population count of two of these never exceeds
+the number of shingles in which the sets differ, so a count beyond what the threshold allows is a proof.
+
 A bucket is never expanded into all of its pairs: its members are first compared with two representatives, the
 links found are contracted to components, and only members of buckets that still hold several components are
 compared with each other, by their sketches, in blocks of bounded size.
@@ -27,6 +30,7 @@ from cairn.llm.runtime import cut, pieces, salted_join, text_bytes
 
 BANDS, ROWS = 32, 5
 SKETCH_WORDS = 8
+PARITY_WORDS = 64
 CHUNK_BYTES = 1 << 20
 BLOCK = 1024
 
@@ -58,6 +62,19 @@ def odd_sketch(signatures: np.ndarray, words: int = SKETCH_WORDS) -> np.ndarray:
     return np.packbits(flips.astype(np.uint8), axis=1, bitorder="little").view(np.uint64).reshape(n, words)
 
 
+def parity(sets: np.ndarray, sizes: np.ndarray, words: int = PARITY_WORDS) -> np.ndarray:
+    """(rows, words) parity bitmaps to which each shingle of a row's set contributes one bit."""
+    bits, n = 64 * words, len(sizes)
+    out = np.empty((n, words), np.uint64)
+    at, ends = (sets % np.uint64(bits)).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)])
+    for i in range(0, n, 256):
+        j = min(n, i + 256)
+        row = np.repeat(np.arange(j - i) * bits, sizes[i:j])
+        flips = np.bincount(row + at[ends[i] : ends[j]], minlength=(j - i) * bits).reshape(j - i, bits) & 1
+        out[i:j] = np.packbits(flips.astype(np.uint8), axis=1, bitorder="little").view(np.uint64)
+    return out
+
+
 def most_differing_bits(samples: int, similarity: float, words: int = SKETCH_WORDS, sigmas: float = 4.0) -> int:
     """The XOR population count that a pair at the threshold stays within: ``sigmas`` deviations for the samples
     that differ, and half as many again for bits that cancel out, which together are missed once in about 10**9.
@@ -79,8 +96,6 @@ def _signatures(k: int, bands: int, rows: int):
                 sets, sizes = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
                 full = np.flatnonzero(sizes)
                 size = sizes[full]
-                one = two = np.zeros(0, np.uint64)
-                keys, sketch = np.zeros((0, bands), np.uint64), np.zeros((0, SKETCH_WORDS), np.uint64)
                 if len(full):
                     sig = minhash(sets, size, bands * rows)
                     parts = sig.reshape(len(full), bands, rows).astype(np.uint64) * salt.reshape(bands, rows)
@@ -88,15 +103,15 @@ def _signatures(k: int, bands: int, rows: int):
                     sketch, starts = odd_sketch(sig), np.cumsum(size) - size
                     one, two = np.add.reduceat(mix(sets + np.uint64(1)), starts), np.add.reduceat(mix(sets ^ np.uint64(0xA5A5A5A5)), starts)
                 if len(empty := np.flatnonzero(sizes == 0)):
-                    yield pa.RecordBatch.from_arrays([ids.slice(i, j - i).take(pa.array(empty)), pa.array(np.zeros(len(empty), np.int64)), *(pa.nulls(len(empty), t) for t in (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())))], names=_SIGNED)
+                    yield pa.RecordBatch.from_arrays([ids.slice(i, j - i).take(pa.array(empty)), pa.array(np.zeros(len(empty), np.int64)), *(pa.nulls(len(empty), t) for t in (pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3))], names=_SIGNED)
                 whole = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32)), pa.array(m.ravel().view(np.int64)))
                 if len(full):
-                    yield pa.RecordBatch.from_arrays([ids.slice(i, j - i).take(pa.array(full)), pa.array(size), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), whole(np.ascontiguousarray(keys)), whole(sketch)], names=_SIGNED)
+                    yield pa.RecordBatch.from_arrays([ids.slice(i, j - i).take(pa.array(full)), pa.array(size), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), whole(np.ascontiguousarray(keys)), whole(sketch), whole(parity(sets, size))], names=_SIGNED)
 
     return run
 
 
-_SIGNED = ["doc_id", "n_shingles", "set_one", "set_two", "keys", "sketch"]
+_SIGNED = ["doc_id", "n_shingles", "set_one", "set_two", "keys", "sketch", "parity"]
 
 
 def _sets(k: int):
@@ -117,7 +132,7 @@ def _close(limit: int, percent: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         node, size, comp, side = (table.column(c).to_numpy() for c in ("node", "n_shingles", "component", "side"))
-        bits = np.array(table.column("sketch").combine_chunks().flatten(), dtype=np.int64).view(np.uint64).reshape(len(node), -1)
+        bits, whole = (np.array(table.column(c).combine_chunks().flatten(), dtype=np.int64).view(np.uint64).reshape(len(node), -1) for c in ("sketch", "parity"))
         one_sided = bool(len(side)) and side.min() == side.max()
         out = []
         left = np.arange(len(node)) if one_sided else np.flatnonzero(side == side.min())
@@ -127,6 +142,9 @@ def _close(limit: int, percent: int):
             r = r[comp[r] != comp[i]]
             r = r[100 * np.minimum(size[r], size[i]) >= percent * np.maximum(size[r], size[i])]
             r = r[np.bitwise_count(bits[r] ^ bits[i]).sum(axis=1) <= limit]
+            apart = np.bitwise_count(whole[r] ^ whole[i]).sum(axis=1, dtype=np.int64)
+            # sets of sizes x and y at the threshold differ in (x + y)(100 - percent) / (100 + percent) shingles
+            r = r[(100 + percent) * apart <= (100 - percent) * (size[r] + size[i])]
             if len(r):
                 out.append(np.stack([np.minimum(node[r], node[i]), np.maximum(node[r], node[i])]))
         got = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
@@ -183,12 +201,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns are read, so other columns may have any names.
     """
     table = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id IS NOT NULL")
-    signed = cut(table.mapInArrow(_signatures(k, bands, rows), "doc_id long, n_shingles long, set_one long, set_two long, keys array<long>, sketch array<long>"))
+    signed = cut(table.mapInArrow(_signatures(k, bands, rows), "doc_id long, n_shingles long, set_one long, set_two long, keys array<long>, sketch array<long>, parity array<long>"))
     full = signed.filter("n_shingles > 0")
     copies = full.groupBy("set_one", "set_two").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     repeats = cut(salted_join(full.select("doc_id", "set_one", "set_two"), copies, ["set_one", "set_two"], F.col("doc_id")).select("doc_id", "node"))
     nodes = full.join(repeats.filter("doc_id <> node").select("doc_id"), "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    nodes = cut(nodes.select(F.col("doc_id").alias("node"), "n_shingles", "sketch", "keys"))
+    nodes = cut(nodes.select(F.col("doc_id").alias("node"), "n_shingles", "sketch", "parity", "keys"))
 
     bucket = Window.partitionBy("key")
     met = nodes.select("node", F.explode("keys").alias("key")).select("node", "key", F.count(F.lit(1)).over(bucket).alias("n"), F.min("node").over(bucket).alias("low"), F.max("node").over(bucket).alias("high"))
@@ -208,7 +226,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     split = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
     rest = now.join(split, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "node", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"))
-    rest = rest.join(sketch, "node").select("key", "i", "j", "node", "component", "side", "n_shingles", "sketch")
+    rest = rest.join(nodes.drop("keys"), "node").select("key", "i", "j", "node", "component", "side", "n_shingles", "sketch", "parity")
     more = rest.groupBy("key", "i", "j").applyInArrow(_close(limit, percent), "a long, b long").distinct().join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     found = cut(_confirmed(cut(more), texts, k, percent))
     if not found.isEmpty():
