@@ -9,6 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from cairn.llm import decontaminate
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where a public vocabulary file is; the file is the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -25,6 +32,12 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(_table(spark, sf_dir, "documents"), shards=16)
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.bpe_automaton import round_trip
+
+    return round_trip(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.llm.near_dedup import near_duplicates
 
@@ -40,6 +53,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op7_sharding": op7_sharding,
+    "op8_bpe": op8_bpe,
     "op9_near_dedup": op9_near_dedup,
     "op10_pii": op10_pii,
 }
