@@ -26,6 +26,15 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.runtime import fresh_path
+    from cairn.llm.token_store import read_store, write_store
+
+    path = fresh_path(spark, "tokens")
+    write_store(_table(spark, sf_dir, "documents"), path, tokenizer_path(), end_id=2)
+    return read_store(spark, path)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.llm.sharding import assign_shards
 
@@ -52,6 +61,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
+    "op6_token_store": op6_token_store,
     "op7_sharding": op7_sharding,
     "op8_bpe": op8_bpe,
     "op9_near_dedup": op9_near_dedup,
