@@ -20,6 +20,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.quality import score, train
+
+    docs = _table(spark, sf_dir, "documents")
+    return score(docs, train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.llm.decontaminate import contamination
 
@@ -59,13 +66,21 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(_table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality": op2_quality,
     "op4_decontamination": op4_decontamination,
     "op6_token_store": op6_token_store,
     "op7_sharding": op7_sharding,
     "op8_bpe": op8_bpe,
     "op9_near_dedup": op9_near_dedup,
     "op10_pii": op10_pii,
+    "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {
