@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import decontaminate
+from cairn.llm import chat_format, decontaminate, topk_search
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -20,6 +20,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.runtime import cut
+    from cairn.llm.topk_search import build_index, search
+
+    vectors = _table(spark, sf_dir, "embeddings")
+    return search(cut(build_index(vectors)), vectors.filter("vec_id % 50 = 0"), k=5)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.llm.quality import score, train
 
@@ -27,12 +35,27 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.chat_format import digests, format_conversations
+
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    more = spark.range(2).selectExpr("-1L AS conv_id", "id AS turn", "IF(id = 0, 'user', 'assistant') AS role", f"'{control}' AS text")
+    return digests(format_conversations(rows.unionByName(more)))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.llm.decontaminate import contamination
 
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.html_render import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.llm.runtime import fresh_path
     from cairn.llm.token_store import read_store, write_store
@@ -73,8 +96,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_topk": op1_topk,
     "op2_quality": op2_quality,
+    "op3_chat": op3_chat,
     "op4_decontamination": op4_decontamination,
+    "op5_html": op5_html,
     "op6_token_store": op6_token_store,
     "op7_sharding": op7_sharding,
     "op8_bpe": op8_bpe,
@@ -84,5 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_topk": topk_search.ORACLE,
+    "op3_chat": chat_format.ORACLE,
     "op4_decontamination": decontaminate.ORACLE,
 }
