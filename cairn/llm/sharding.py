@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cairn.llm.runtime import cut
+
 #: A key has about ln(shards) jumps; of this many, one key in 10**100 would need more.
 MOST_JUMPS = 256
 #: Rows that a task numbers, about.
@@ -46,7 +48,8 @@ def assign_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", tex
     text, key = F.col(text_col).cast("string"), F.col(id_col)
     rows = docs.select(key.alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), F.xxhash64(key).alias("__key"))
     rows = rows.select("doc_id", "size", "text_crc32", jump_hash(F.col("__key"), shards).alias("shard"), jump_hash(F.col("__key"), shards + 1).alias("grown_shard"))
-    buckets = max(1, min(MOST_BUCKETS, docs.count() // (shards * BUCKET_ROWS)))
+    rows = cut(rows)  # read twice below, and texts only once
+    buckets = max(1, min(MOST_BUCKETS, rows.count() // (shards * BUCKET_ROWS)))
     rows = rows.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(buckets)).cast("int"))
     count = rows.groupBy("shard", "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     first = Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
