@@ -119,7 +119,13 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if n:
         placed = cut(tokens.join(bounded(patterns, n), "left"))
         edges = seeds.join(patterns, "left").select("left", "value", "kind").union(placed.select("left", "value", F.lit(-1).alias("kind"))).distinct()
-        edges = cut(edges.groupBy("left", "value").agg(F.max("kind").alias("kind")))
+        edges = edges.groupBy("left", "value").agg(F.max("kind").alias("kind"))
+        # a pattern whose fills of other kinds rule out the confidence need not be looked up in all texts
+        fills = edges.groupBy("left").agg(F.count(F.lit(1)).alias("fills"), F.count_if(F.col("kind") < 0).alias("free"), *(F.count_if(F.col("kind") == k).alias(f"k{k}") for k in range(4)))
+        patterns = cut(fills.filter(F.greatest("k0", "k1", "k2", "k3") + F.col("free") >= MIN_CONFIDENCE * (F.col("fills") + 1)).select("left"))
+        n = patterns.count()
+    if n:
+        edges, placed = cut(edges.join(bounded(patterns, n), "left")), placed.join(bounded(patterns, n), "left")
         plain = _plain_fills(table, patterns, n)
         belief = edges.filter("kind >= 0").select("value", "kind", F.lit(1.0).alias("held")).distinct()
         for _ in range(ROUNDS):
