@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 
 from cairn.llm.runtime import pieces, text_bytes
 
-#: Distinct pieces of text whose tokens a worker remembers, and the longest of them in bytes.
-CACHE, CACHED_BYTES = 1_000_000, 64
-CHUNK_BYTES = 1 << 22
+#: Distinct pieces of text, words and transitions that a worker remembers (about 100 MB), and the longest text among them in bytes.
+CACHE, WORDS, TRANSITIONS, CACHED_BYTES = 300_000, 150_000, 400_000, 64
+CHUNK_BYTES = 1 << 20
 _NEVER = 1 << 60
 _START = -1
 #: Not among the byte symbols.
@@ -79,7 +79,7 @@ class Automaton:
             for j in range(1, len(t)):
                 self._arcs.setdefault(t[:j], -1)
         self._word: dict[str, list[int]] = {}
-        self._lost: dict[tuple[int, int], int] = {}
+        self._lost: dict[int, int] = {}
         self._piece: dict[bytes, bytes] = _Pieces(self)
         self.dtype = np.dtype("<u2" if max(self.labels) < 1 << 16 else "<u4")
         self._digits = {i: str(i).encode() for i in self.labels}
@@ -92,7 +92,7 @@ class Automaton:
 
     def lost(self, state: int, label: int) -> int:
         """The date at which the arc (state, label) was taken away, or _NEVER."""
-        known = self._lost.get((state, label))
+        known = self._lost.get(state << 32 | label)
         if known is not None:
             return known
         s, x = self.born[state], self.born[label]
@@ -105,9 +105,9 @@ class Automaton:
             date = was if was <= x else _NEVER
         if date == _NEVER:
             date = self.dates.get((state, label), _NEVER)
-        self._lost[(state, label)] = date
-        if len(self._lost) > 4 * CACHE:
+        if len(self._lost) >= TRANSITIONS:
             self._lost.clear()
+        self._lost[state << 32 | label] = date
         return date
 
     def read(self, symbols: str) -> list[int]:
@@ -133,7 +133,7 @@ class Automaton:
                     label, j = arcs.pop()
                     if state == _START:
                         break
-                    date = known((state, label))
+                    date = known(state << 32 | label)
                     if (self.lost(state, label) if date is None else date) == never:
                         break
                 else:  # no arc leads on
@@ -155,7 +155,7 @@ class Automaton:
             ids = known.get(word)
             if ids is None:
                 ids = self.read("".join([byte[b] for b in word.encode()]))
-                if len(known) >= CACHE:
+                if len(known) >= WORDS:
                     known.clear()
                 if len(word) <= CACHED_BYTES:
                     known[word] = ids

@@ -28,7 +28,7 @@ MAGIC = b"EFT1"
 #: A block is closed when it holds this many ids.
 BLOCK_IDS = 1 << 20
 BUCKET_ROWS, MOST_BUCKETS = 500, 4096
-CHUNK_BYTES = 1 << 22
+CHUNK_BYTES = 1 << 20
 _EVERY = 64
 
 
@@ -117,7 +117,7 @@ class Block:
 class _Pieces(dict):
     """Text between ASCII white space -> its ids as bytes. White space ends words and is dropped, so it stands alone."""
 
-    MOST, BYTES = 1_000_000, 64
+    MOST, BYTES = 300_000, 64
 
     def __init__(self, path: str):
         import os
