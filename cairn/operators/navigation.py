@@ -95,13 +95,10 @@ def outline_text(rows: DataFrame, title: str, path: str = "path", depth: str = "
 
 
 def descendants(nodes: DataFrame, root, key: str, parent: str, max_depth: int = 16) -> DataFrame:
-    """All nodes below a root, by breadth, until a level is empty."""
-    level = nodes.filter(F.col(parent) == root).select(key)
-    found = level
-    for _ in range(max_depth):
-        level = nodes.join(level.select(F.col(key).alias(parent)), parent, "left_semi").select(key).join(found, key, "left_anti")
-        found = found.union(level).distinct()
-    return found
+    """All nodes below a root, once each; max_depth ends cycles."""
+    rows = nodes.select(F.col(key).alias("k"), F.col(parent).alias("p"))
+    sql = "WITH RECURSIVE t(k, d) AS (SELECT k, 1 FROM {rows} WHERE p = {root} UNION ALL SELECT n.k, d + 1 FROM {rows} n JOIN t ON n.p = t.k WHERE d < {most}) SELECT DISTINCT k FROM t"
+    return nodes.sparkSession.sql(sql, rows=rows, root=root, most=max_depth).withColumnRenamed("k", key)
 
 
 def position(chunks: DataFrame, elements: DataFrame) -> DataFrame:

@@ -31,22 +31,22 @@ def recall(spark, sf_dir):
     return ranking.recall(_routes(spark, sf_dir)).select("route", "chunk_id", F.col("rank").cast("int").alias("rank"), F.round("score", 6).alias("score"))
 
 
-_RRF = _RECALLED + ", f AS (SELECT chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score, string_agg(route, ',' ORDER BY route_no, rank) AS routes, min(route_no * 1000 + rank) AS first FROM u GROUP BY chunk_id)"
+_RRF = _RECALLED + ", fused AS (SELECT chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score, string_agg(route, ',' ORDER BY route_no, rank) AS routes, min(route_no * 1000 + rank) AS first FROM u GROUP BY chunk_id)"
 
 
-@query("pipeline_hybrid_rrf", _RRF + " SELECT chunk_id, routes, round(score, 6) AS score FROM f ORDER BY f.score DESC, first, chunk_id LIMIT 10")
+@query("pipeline_hybrid_rrf", _RRF + " SELECT chunk_id, routes, round(score, 6) AS score FROM fused ORDER BY fused.score DESC, first, chunk_id LIMIT 10")
 def rrf(spark, sf_dir):
     top = ranking.best(ranking.rrf(ranking.recall(_routes(spark, sf_dir))), 10)
     return top.select("chunk_id", F.array_join("routes", ",").alias("routes"), F.round("score", 6).alias("score"))
 
 
 @query("R14_weighted_fusion", _RECALLED + """, m AS (SELECT *, min(score) OVER (PARTITION BY route) AS lo, max(score) OVER (PARTITION BY route) AS hi FROM u),
-f AS (SELECT chunk_id, round(sum((CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1.0 END) * CASE route WHEN 'bm25_sparse' THEN 0.7 ELSE 1.0 END), 6) AS score FROM m GROUP BY chunk_id) SELECT chunk_id, score FROM f""")
+fused AS (SELECT chunk_id, round(sum((CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1.0 END) * CASE route WHEN 'bm25_sparse' THEN 0.7 ELSE 1.0 END), 6) AS score FROM m GROUP BY chunk_id) SELECT chunk_id, score FROM fused""")
 def weighted(spark, sf_dir):
     return ranking.weighted(ranking.recall(_routes(spark, sf_dir)), {"bm25_sparse": 0.7}).select("chunk_id", F.round("score", 6).alias("score"))
 
 
-@query("R24_route_stats", _RRF + """, top AS (SELECT * FROM f ORDER BY score DESC, first, chunk_id LIMIT 10), n AS (SELECT unnest(string_split(routes, ',')) AS route FROM top),
+@query("R24_route_stats", _RRF + """, top AS (SELECT * FROM fused ORDER BY score DESC, first, chunk_id LIMIT 10), n AS (SELECT unnest(string_split(routes, ',')) AS route FROM top),
 p(route) AS (VALUES ('exact_match'), ('bm25_sparse'), ('qa_dense'))
 SELECT p.route, (SELECT count(*) FROM u WHERE u.route = p.route) AS recalled, (SELECT count(*) FROM u WHERE u.route = p.route) AS aligned, (SELECT count(*) FROM n WHERE n.route = p.route) AS final FROM p""")
 def route_stats(spark, sf_dir):
@@ -55,7 +55,7 @@ def route_stats(spark, sf_dir):
     return ranking.route_stats(plan, rows, rows, ranking.best(ranking.rrf(rows), 10))
 
 
-@query("R20_rerank", _RRF + """, top AS (SELECT * FROM f ORDER BY score DESC, first, chunk_id LIMIT 20)
+@query("R20_rerank", _RRF + """, top AS (SELECT * FROM fused ORDER BY score DESC, first, chunk_id LIMIT 20)
 SELECT chunk_id, round(top.score, 6) AS fused, round((contains(lower(text), 'therea')::INT + contains(lower(text), 'thinor')::INT + contains(lower(text), 'einen')::INT) / 3.0, 6) AS score
 FROM top JOIN documents ON doc_id = chunk_id ORDER BY 3 DESC, top.score DESC, chunk_id LIMIT 8""")
 def rerank(spark, sf_dir):
@@ -88,13 +88,13 @@ def qa_pin(spark, sf_dir):
     return ranking.hydrate(ranking.pin(spark.sql(QA)), chunks)
 
 
-@query("R18_without_pinned", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 100000)")
+@query("R18_without_pinned", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
 def without_pinned(spark, sf_dir):
-    gone = table(spark, sf_dir, "orders").filter("o_totalprice > 100000").select(F.col("o_custkey").alias("c_custkey"))
+    gone = table(spark, sf_dir, "orders").filter("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))
     return ranking.without(table(spark, sf_dir, "customer"), gone, "c_custkey").select("c_custkey")
 
 
-@query("R26_engine_retrieve", _RRF + """, top AS (SELECT * FROM f ORDER BY score DESC, first, chunk_id LIMIT 50)
+@query("R26_engine_retrieve", _RRF + """, top AS (SELECT * FROM fused ORDER BY score DESC, first, chunk_id LIMIT 50)
 SELECT chunk_id, round((contains(lower(text), 'therea')::INT + contains(lower(text), 'thinor')::INT) / 2.0, 6) AS score FROM top JOIN documents ON doc_id = chunk_id
 ORDER BY 2 DESC, top.score DESC, chunk_id LIMIT 10""")
 def engine(spark, sf_dir):

@@ -37,8 +37,8 @@ def boolean(spark, sf_dir):
 
 
 @query("L12_snippet", """
-WITH h AS (SELECT doc_id, text, strpos(lower(text), 'license') AS at FROM documents WHERE contains(lower(text), 'license') ORDER BY doc_id LIMIT 20)
-SELECT doc_id, (CASE WHEN greatest(at - 40, 1) > 1 THEN '...' ELSE '' END) || substr(text, greatest(at - 40, 1), at - greatest(at - 40, 1)) || '>>>' || substr(text, at, 7) || '<<<' || substr(text, at + 7, 40) || (CASE WHEN at + 47 <= length(text) THEN '...' ELSE '' END) AS snippet FROM h""")
+WITH h AS (SELECT doc_id, text, strpos(lower(text), 'license') AS pos FROM documents WHERE contains(lower(text), 'license') ORDER BY doc_id LIMIT 20)
+SELECT doc_id, (CASE WHEN greatest(pos - 40, 1) > 1 THEN '...' ELSE '' END) || substr(text, greatest(pos - 40, 1), pos - greatest(pos - 40, 1)) || '>>>' || substr(text, pos, 7) || '<<<' || substr(text, pos + 7, 40) || (CASE WHEN pos + 47 <= length(text) THEN '...' ELSE '' END) AS snippet FROM h""")
 def snippet(spark, sf_dir):
     return lexical.grep_chunks(_docs(spark, sf_dir), "license", top_k=20, context=40, key="doc_id").select("doc_id", "snippet")
 
