@@ -72,7 +72,7 @@ def stream(spark: SparkSession, source: str, schema: str | None = None, **option
     """A directory of files, a rate, or Kafka where its connector is installed."""
     reader = spark.readStream.format(source).options(**options)
     reader = reader.schema(schema) if schema else reader
-    return reader.load(options["path"]) if "path" in options else reader.load()
+    return reader.load()
 
 
 __all__ = ["MAGIC", "merge_pages", "page_ranges", "read_files", "strip", "stream", "upload_error"]
