@@ -22,7 +22,7 @@ from cairn.llm.runtime import pieces, text_bytes
 PASSAGE_BYTES = 512
 FEATURES = 1024
 HIDDEN, GATE = 32, 16
-EPOCHS, BATCH, RATE, DECAY = 12, 64, 3e-3, 1e-4
+STEPS, BATCH, RATE, DECAY = 600, 64, 3e-3, 1e-4
 CHUNK_BYTES = 1 << 19
 #: A score from here on predicts label 1.
 THRESHOLD = 0.3
@@ -85,11 +85,11 @@ class Model:
         dh = (a[:, None] * dz + dt @ p["V"].T + dg @ p["U"].T) * (1 - h * h)
         return {"E": x.T @ dh, "e": dh.sum(axis=0), "V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ ds, "c": z.T @ d, "b": np.array([d.sum()])}
 
-    def fit(self, bags: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, seed: int = 11) -> Model:
-        """Adam on the cross entropy."""
+    def fit(self, bags: list[np.ndarray], y: np.ndarray, steps: int = STEPS, seed: int = 11) -> Model:
+        """Adam on the cross entropy, for as many whole epochs as ``steps`` batches need."""
         r = np.random.default_rng(seed)
         m, v, step = {k: np.zeros_like(w) for k, w in self.p.items()}, {k: np.zeros_like(w) for k, w in self.p.items()}, 0
-        for _ in range(epochs):
+        for _ in range(-(-steps // -(-len(bags) // BATCH))):
             order = r.permutation(len(bags))
             for i in range(0, len(bags), BATCH):
                 take = order[i : i + BATCH]

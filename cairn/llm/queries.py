@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import chat_format, decontaminate, topk_search
+from cairn.llm import chat_format, decontaminate, near_dedup, topk_search
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -113,4 +113,5 @@ ORACLES: dict[str, str] = {
     "op1_topk": topk_search.ORACLE,
     "op3_chat": chat_format.ORACLE,
     "op4_decontamination": decontaminate.ORACLE,
+    "op9_near_dedup": near_dedup.ORACLE,
 }

@@ -22,10 +22,16 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity 0.8. Rows without an id stay."""
-    classes = near_dedup.near_duplicates(docs)
+    """One document of each group of near copies: five-word shingles, similarity 0.8.
+
+    Rows without an id stay; of rows that repeat an id one stays.
+    """
+    classes = cut(near_dedup.near_duplicates(docs))
     gone = cut(classes.filter("NOT kept").select(F.col("doc_id").alias("__id")).distinct())
-    return docs.join(bounded(gone, gone.count()), F.col("doc_id") == F.col("__id"), "left_anti")
+    kept = docs.join(bounded(gone, gone.count()), F.col("doc_id") == F.col("__id"), "left_anti")
+    if classes.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return kept
+    return kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id IS NULL"))
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +41,7 @@ def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data masked; n_chars follows the text."""
-    masked = pii.redact(docs.withColumnRenamed("n_chars", "__n"))
+    masked = pii.redact(docs.drop("n_chars"))
     return masked.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
