@@ -149,9 +149,9 @@ def split_table(spark, sf_dir):
     return rows.select(F.posexplode(parts).alias("part", "body"))
 
 
-@query("T27_section_text", "SELECT l_orderkey AS section_id, string_agg(CASE WHEN l_linenumber = 2 THEN '[image]' ELSE l_returnflag || l_linenumber END, chr(10) || chr(10) ORDER BY l_linenumber DESC, l_partkey DESC) AS text FROM lineitem WHERE l_orderkey % 20 = 0 GROUP BY 1")
+@query("T27_section_text", "SELECT l_orderkey AS section_id, string_agg(CASE WHEN l_linenumber = 2 THEN '[image]' ELSE 'P' || l_partkey END, chr(10) || chr(10) ORDER BY l_linenumber DESC, l_partkey DESC) AS text FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem) WHERE l_orderkey % 20 = 0 GROUP BY 1")
 def section_text(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").filter("l_orderkey % 20 = 0").select("l_orderkey", "l_linenumber", (F.col("l_orderkey") * 100_000_000 + F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("chunk_id"), F.when(F.col("l_linenumber") == 2, "image").otherwise("text").alias("chunk_type"), F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("text"))
+    rows = table(spark, sf_dir, "lineitem").filter("l_orderkey % 20 = 0").select("l_orderkey", "l_linenumber", (F.col("l_orderkey") * 100_000_000 + F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("chunk_id"), F.when(F.col("l_linenumber") == 2, "image").otherwise("text").alias("chunk_type"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("text")).distinct()
     sections = rows.groupBy(F.col("l_orderkey").alias("section_id")).agg(F.sort_array(F.collect_list("chunk_id"), asc=False).alias("chunk_ids"))
     return ingest.section_text(sections.withColumn("chunk_ids", F.array_append("chunk_ids", F.lit(-1).cast("long"))), rows)
 
