@@ -12,8 +12,10 @@ Every 64th set bit's position is stored, so select(i) counts the bits of a few w
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -114,10 +116,19 @@ class Block:
         return self.ids[self.bounds.select(i) : self.bounds.select(i + 1)]
 
 
+#: ASCII marks that may end a piece and never join with a letter before them. Apostrophes and what special strings
+#: hold are not among them.
+_MARKS = b".,!?;:*#$%&"
+
+
 class _Pieces(dict):
-    """Text between ASCII white space -> its ids as bytes. White space ends words and is dropped, so it stands alone."""
+    """Text between ASCII white space -> its ids as bytes. White space ends words and is dropped, so it stands alone.
+
+    Pieces that differ in the case of ASCII letters, or in marks after a letter, share what the library says of
+    the letters: the tokenizer lower-cases, and splits letters from marks.
+    """
 
-    MOST, BYTES = 300_000, 64
+    MOST, STEMS, BYTES = 700_000, 400_000, 64
 
     def __init__(self, path: str):
         import os
@@ -128,6 +139,38 @@ class _Pieces(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.stems: dict[bytes, bytes] = {}
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        vocab = self.tokenizer.get_vocab()
+        #: whether an id ends a word, where the file marks that
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        if suffix:
+            self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+
+    def encode(self, stems: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """(stem, ids) of each. Stems of letters are one word each, so many are encoded as one text and cut at word ends."""
+        plain = [w for w in stems if w.decode().isalpha()]
+        alone = [w for w in stems if not w.decode().isalpha()]
+        for i in range(0, len(plain), 512):
+            group = plain[i : i + 512]
+            ids = np.array(self.tokenizer.encode(b" ".join(group).decode(), add_special_tokens=False).ids, "<u4")
+            cuts = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
+            if len(cuts) == len(group) + 1 and cuts[-1] == 4 * len(ids):
+                raw = ids.tobytes()
+                yield from zip(group, (raw[a:b] for a, b in zip(cuts, cuts[1:])))
+            else:
+                alone += group
+        for w, e in zip(alone, self.tokenizer.encode_batch_fast([w.decode() for w in alone], add_special_tokens=False)):
+            yield w, array("I", e.ids).tobytes()
+
+    def parts(self, piece: bytes) -> tuple[bytes, bytes]:
+        """What is encoded for a piece, in two parts."""
+        if b"<" in piece or b"|" in piece:
+            return piece, b""
+        stem = piece.rstrip(_MARKS)
+        if len(stem) < len(piece) and (stem[-1:].isalnum() or (stem[-1:] >= b"\x80" and stem.decode()[-1].isalpha())):
+            return stem.lower(), piece[len(stem) :]
+        return piece.lower(), b""
 
     def learn(self, words: list[bytes]) -> None:
         """Encodes what is not known yet in one call."""
@@ -135,11 +178,17 @@ class _Pieces(dict):
         if len(self) + len(new) > self.MOST:
             self.clear()
             new = [w for w in set(words) if len(w) <= self.BYTES]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-            self[w] = np.array(e.ids, "<u4").tobytes()
+        parts = [self.parts(w) for w in new]
+        unknown = list({p for x in parts for p in x if p not in self.stems})
+        if len(self.stems) + len(unknown) > self.STEMS:
+            self.stems.clear()
+            unknown = list({p for x in parts for p in x})
+        self.stems.update(self.encode(unknown))
+        for w, (stem, marks) in zip(new, parts):
+            self[w] = self.stems[stem] + self.stems[marks]
 
     def __missing__(self, word: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
 
 
 _OPEN: dict[str, _Pieces] = {}
