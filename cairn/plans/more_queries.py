@@ -88,7 +88,16 @@ def document_elements(spark, sf_dir):
 
 @query("N21_chunk_position", "SELECT l_orderkey AS chunk_id, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_linenumber, l_partkey) AS elements, min_by(p_size, l_linenumber * 1000000 + l_partkey) FILTER (WHERE p_size > 5) AS page FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey % 10 = 0 GROUP BY 1")
 def chunk_position(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").filter("l_orderkey % 10 = 0").groupBy(F.col("l_orderkey").alias("chunk_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"]).alias("element_ids")).withColumn("page_index", F.lit(None).cast("int"))
+    return _positions(spark, sf_dir, table(spark, sf_dir, "lineitem").filter("l_orderkey % 10 = 0"))
+
+
+@query("N21_all_chunk_positions", "SELECT l_orderkey AS chunk_id, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_linenumber, l_partkey) AS elements, min_by(p_size, l_linenumber * 1000000 + l_partkey) FILTER (WHERE p_size > 5) AS page FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1")
+def all_chunk_positions(spark, sf_dir):
+    return _positions(spark, sf_dir, table(spark, sf_dir, "lineitem"))
+
+
+def _positions(spark, sf_dir, lines):
+    rows = lines.groupBy(F.col("l_orderkey").alias("chunk_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"]).alias("element_ids")).withColumn("page_index", F.lit(None).cast("int"))
     elements = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("element_id"), F.when(F.col("p_size") > 5, F.col("p_size")).alias("page_index"), F.lit("[]").alias("page_position"))
     out = navigation.position(rows, elements)
     return out.select("chunk_id", F.array_join(F.transform("elements", lambda e: e["element_id"].cast("string")), ",").alias("elements"), "page")
@@ -151,7 +160,16 @@ def split_table(spark, sf_dir):
 
 @query("T27_section_text", "SELECT l_orderkey AS section_id, string_agg(CASE WHEN l_linenumber = 2 THEN '[image]' ELSE 'P' || l_partkey END, chr(10) || chr(10) ORDER BY l_linenumber DESC, l_partkey DESC) AS text FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem) WHERE l_orderkey % 20 = 0 GROUP BY 1")
 def section_text(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").filter("l_orderkey % 20 = 0").select("l_orderkey", "l_linenumber", (F.col("l_orderkey") * 100_000_000 + F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("chunk_id"), F.when(F.col("l_linenumber") == 2, "image").otherwise("text").alias("chunk_type"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("text")).distinct()
+    return _section_texts(table(spark, sf_dir, "lineitem").filter("l_orderkey % 20 = 0"))
+
+
+@query("T27_all_section_texts", "SELECT l_orderkey AS section_id, string_agg(CASE WHEN l_linenumber = 2 THEN '[image]' ELSE 'P' || l_partkey END, chr(10) || chr(10) ORDER BY l_linenumber DESC, l_partkey DESC) AS text FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem) GROUP BY 1")
+def all_section_texts(spark, sf_dir):
+    return _section_texts(table(spark, sf_dir, "lineitem"))
+
+
+def _section_texts(lines):
+    rows = lines.select("l_orderkey", "l_linenumber", (F.col("l_orderkey") * 100_000_000 + F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("chunk_id"), F.when(F.col("l_linenumber") == 2, "image").otherwise("text").alias("chunk_type"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("text")).distinct()
     sections = rows.groupBy(F.col("l_orderkey").alias("section_id")).agg(F.sort_array(F.collect_list("chunk_id"), asc=False).alias("chunk_ids"))
     return ingest.section_text(sections.withColumn("chunk_ids", F.array_append("chunk_ids", F.lit(-1).cast("long"))), rows)
 
