@@ -134,11 +134,12 @@ def backoff(n: Column, base: float, most: float, kind: str = "exponential") -> C
 
 
 def html_table_text(c: Column) -> Column:
-    """Rows as 'a | b' lines, tags stripped; a text without a row start stays."""
+    """Rows as 'a | b' lines, tags stripped, a cell in one line; a text without a row start stays, and one without a whole row with cells."""
     rows = F.regexp_extract_all(c, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))
-    cell = lambda x: strip(F.regexp_replace(x, r"<[^>]+>", ""))
-    line = lambda r: F.array_join(F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1)), cell), " | ")
-    return F.when(~F.lower(c).contains("<tr"), c).otherwise(F.array_join(F.filter(F.transform(rows, line), lambda x: x != ""), "\n"))
+    cells = F.filter(F.transform(rows, lambda r: F.regexp_extract_all(r, F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1))), lambda x: F.size(x) > 0)
+    cell = lambda x: F.replace(strip(F.regexp_replace(x, r"<[^>]+>", "")), F.lit("\n"), F.lit(" "))
+    lines = F.transform(cells, lambda x: F.array_join(F.transform(x, cell), " | "))
+    return F.when(~F.lower(c).contains("<tr"), c).when(F.size(cells) > 0, F.array_join(lines, "\n")).otherwise(strip(c))
 
 
 def table_text(caption: Column, body: Column, footnote: Column) -> Column:

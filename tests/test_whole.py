@@ -1,5 +1,7 @@
 """Queries over the whole of their tables: no id is left out."""
 
+import re
+
 import pytest
 
 from cairn import registry
@@ -30,3 +32,18 @@ def test_lines_are_packed_whatever_the_id(spark, tmp_path):
                 packed.append(line)
         want += [(i, seq, chunk) for seq, chunk in enumerate(packed)]
     assert sorted(map(tuple, registry.QUERIES["T6_pack_lines"](spark, str(tmp_path)).collect())) == want
+
+
+def test_rows_of_pages_with_tables(spark, tmp_path):
+    pages = ["no table", "", None, "<table><TR class=a><th>h <b>1</b></th><td> 2\n</td></TR>\n<tr><td></td></tr><tr>no cell</tr></table>", "<p>x<table><tr><td>a</td><td></td></tr><tr><TD colspan=2>b\nc</TD></tr></table>y", "<tr><td>open"]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+
+    def brute(text):
+        if text is None or "<tr" not in text.lower():
+            return text
+        rows = [re.findall(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>", r) for r in re.findall(r"(?is)<tr[^>]*>(.*?)</tr>", text)]
+        lines = [" | ".join(re.sub(r"<[^>]+>", "", c).strip().replace("\n", " ") for c in r) for r in rows if r]
+        return "\n".join(lines) if lines else text.strip()
+
+    got = dict(map(tuple, registry.QUERIES["X1_html_rows"](spark, str(tmp_path)).collect()))
+    assert got == {i: brute(x) for i, x in enumerate(pages)} and got[3] == "h 1 | 2\n" and got[4] == "a | \nb c"
