@@ -24,7 +24,19 @@ WITH s AS (SELECT o_custkey AS document_id, o_orderkey AS section_id, row_number
 c AS (SELECT l_orderkey AS section_id, count(*) AS k FROM lineitem GROUP BY 1)
 SELECT document_id, section_id, rn::INTEGER AS rn, round(1 - (rn - 1) / n, 6) AS score, coalesce(k, 0) AS chunk_count FROM s LEFT JOIN c USING (section_id)""")
 def document_sections(spark, sf_dir):
-    docs = table(spark, sf_dir, "customer").filter(_ANCHORS).select(F.col("c_custkey").alias("document_id"))
+    return _document_sections(spark, sf_dir, table(spark, sf_dir, "customer").filter(_ANCHORS))
+
+
+@query("N1_all_document_sections", """
+WITH s AS (SELECT o_custkey AS document_id, o_orderkey AS section_id, row_number() OVER w AS rn, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer) WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+c AS (SELECT l_orderkey AS section_id, count(*) AS k FROM lineitem GROUP BY 1)
+SELECT document_id, section_id, rn::INTEGER AS rn, round(1 - (rn - 1) / n, 6) AS score, coalesce(k, 0) AS chunk_count FROM s LEFT JOIN c USING (section_id)""")
+def all_document_sections(spark, sf_dir):
+    return _document_sections(spark, sf_dir, table(spark, sf_dir, "customer"))
+
+
+def _document_sections(spark, sf_dir, customers):
+    docs = customers.select(F.col("c_custkey").alias("document_id"))
     rows = N.sections_of(docs, _sections(spark, sf_dir), _chunks(spark, sf_dir), ["at"])
     return rows.select("document_id", "section_id", F.col("rn").cast("int").alias("rn"), F.round("score", 6).alias("score"), "chunk_count")
 
@@ -33,7 +45,18 @@ def document_sections(spark, sf_dir):
 WITH c AS (SELECT o_custkey AS document_id, l_orderkey * 10 + l_linenumber AS chunk_id, row_number() OVER w AS rn, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE {_ANCHORS}) WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, l_orderkey, l_linenumber, l_orderkey * 10 + l_linenumber))
 SELECT document_id, chunk_id, rn::INTEGER AS rn, round(1 - (rn - 1) / n, 6) AS score FROM c""")
 def document_chunks(spark, sf_dir):
-    docs = table(spark, sf_dir, "customer").filter(_ANCHORS).select(F.col("c_custkey").alias("document_id"))
+    return _document_chunks(spark, sf_dir, table(spark, sf_dir, "customer").filter(_ANCHORS))
+
+
+@query("N2_all_document_chunks", """
+WITH c AS (SELECT o_custkey AS document_id, l_orderkey * 10 + l_linenumber AS chunk_id, row_number() OVER w AS rn, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey IN (SELECT c_custkey FROM customer) WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, l_orderkey, l_linenumber, l_orderkey * 10 + l_linenumber))
+SELECT document_id, chunk_id, rn::INTEGER AS rn, round(1 - (rn - 1) / n, 6) AS score FROM c""")
+def all_document_chunks(spark, sf_dir):
+    return _document_chunks(spark, sf_dir, table(spark, sf_dir, "customer"))
+
+
+def _document_chunks(spark, sf_dir, customers):
+    docs = customers.select(F.col("c_custkey").alias("document_id"))
     rows = _chunks(spark, sf_dir).join(_sections(spark, sf_dir), "section_id")
     return N.children_of(docs, rows, "document_id", ["at", "section_id", "seq"], "chunk_id").select("document_id", "chunk_id", F.col("rn").cast("int").alias("rn"), F.round("score", 6).alias("score"))
 
@@ -70,6 +93,14 @@ def context_window(spark, sf_dir):
     return N.context_window(rows.filter("chunk_id % 97 = 0"), rows, "section_id", ["seq"], "chunk_id", 2).select("anchor", "chunk_id", F.round("score", 6).alias("score"))
 
 
+@query("N15_all_context_windows", """
+WITH r AS (SELECT l_orderkey AS section_id, l_orderkey * 10 + l_linenumber AS chunk_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS rn FROM lineitem)
+SELECT a.chunk_id AS anchor, b.chunk_id, round(1 - abs(b.rn - a.rn) / 3.0, 6) AS score FROM r a JOIN r b ON a.section_id = b.section_id AND abs(b.rn - a.rn) BETWEEN 1 AND 2""")
+def all_context_windows(spark, sf_dir):
+    rows = _chunks(spark, sf_dir)
+    return N.context_window(rows, rows, "section_id", ["seq"], "chunk_id", 2).select("anchor", "chunk_id", F.round("score", 6).alias("score"))
+
+
 #: A tree with an unknown parent, a null one, and a depth over the limit.
 NODES = "VALUES (1, NULL), (2, 1), (3, 2), (4, 3), (5, 4), (6, 99), (7, 6), (8, NULL)"
 

@@ -12,11 +12,12 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.mark.parametrize("name,key,source,column", [
     ("N21_all_chunk_positions", "chunk_id", "lineitem", "l_orderkey"), ("T27_all_section_texts", "section_id", "lineitem", "l_orderkey"),
+    ("N1_all_document_sections", "document_id", "orders", "o_custkey"), ("N2_all_document_chunks", "chunk_id", "lineitem", "l_orderkey * 10 + l_linenumber"),
 ])
 def test_every_id_is_answered(spark, name, key, source, column):
     got = registry.QUERIES[name](spark, SF).select(key).distinct()
-    every = registry.table(spark, SF, source).select(column).distinct()
-    assert got.count() == every.count() and every.join(got, got[key] == every[column], "left_anti").count() == 0
+    every = registry.table(spark, SF, source).selectExpr(f"{column} AS {key}").distinct()
+    assert got.count() == every.count() and every.join(got, key, "left_anti").count() == 0
 
 
 def test_lines_are_packed_whatever_the_id(spark, tmp_path):
@@ -47,3 +48,10 @@ def test_rows_of_pages_with_tables(spark, tmp_path):
 
     got = dict(map(tuple, registry.QUERIES["X1_html_rows"](spark, str(tmp_path)).collect()))
     assert got == {i: brute(x) for i, x in enumerate(pages)} and got[3] == "h 1 | 2\n" and got[4] == "a | \nb c"
+
+
+def test_every_chunk_with_neighbours_is_an_anchor(spark):
+    rows = registry.table(spark, SF, "lineitem").selectExpr("l_orderkey", "l_orderkey * 10 + l_linenumber AS anchor")
+    every = rows.join(rows.groupBy("l_orderkey").count().filter("count > 1"), "l_orderkey", "left_semi").select("anchor").distinct()
+    got = registry.QUERIES["N15_all_context_windows"](spark, SF).select("anchor").distinct()
+    assert got.count() == every.count() and every.join(got, "anchor", "left_anti").count() == 0
