@@ -125,6 +125,25 @@ def align_summaries(spark, sf_dir):
     return ranking.expand(near, chunks, "section_id", 1.0, 2).select("document_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
+@query("R11_align_summaries_by_vector", """
+WITH s AS (SELECT o_custkey AS document_id, o_orderkey AS section_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders WHERE o_custkey IN (1, 2, 4)),
+q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0),
+c AS (SELECT DISTINCT document_id, l_orderkey * 10 + l_linenumber AS chunk_id FROM s JOIN lineitem ON l_orderkey = section_id WHERE n <= 5),
+r AS (SELECT document_id, chunk_id, row_number() OVER (PARTITION BY document_id ORDER BY coalesce(list_cosine_similarity(embedding::DOUBLE[], v), 0) DESC, chunk_id) AS rank FROM c CROSS JOIN q LEFT JOIN embeddings ON vec_id = chunk_id % 500)
+SELECT document_id, chunk_id, 0.56::DOUBLE AS score FROM r WHERE rank <= 5""")
+def align_summaries_by_vector(spark, sf_dir):
+    hits = spark.sql("SELECT explode(array(1L, 2L, 4L)) AS document_id, 0.8D AS score")
+    sections = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("document_id"), F.col("o_orderkey").alias("section_id"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).alias("sub_rank"))
+    near = ranking.expand(hits, sections, "document_id", ranking.SUMMARY_SHARE).select("document_id", "section_id", F.col("score").alias("share"))
+    chunks = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("section_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("chunk_id"))
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("vector_id"), "embedding")
+    asked = vectors.filter("vector_id = 0").select(F.col("embedding").alias("asked"))
+    candidates = near.join(chunks, "section_id").select("document_id", "chunk_id", "share").distinct().crossJoin(F.broadcast(asked))
+    stored = candidates.select("chunk_id").distinct().join(vectors, F.col("chunk_id") % 500 == F.col("vector_id"))  # the fixtures' vectors have no chunk ids
+    best = vector.rerank_by_vector(candidates, stored, F.col("asked"), ranking.ALIGN_CHUNKS, "document_id", "chunk_id")
+    return best.select("document_id", "chunk_id", F.round("share", 6).alias("score"))
+
+
 @query("T11_table_text", "SELECT p_partkey, 'table_caption: ' || p_name || chr(10) || 'table_body: ' || p_type AS shown FROM part")
 def table_text(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.table_text(F.col("p_name"), F.col("p_type"), F.lit("  ")).alias("shown"))

@@ -55,3 +55,10 @@ def test_every_chunk_with_neighbours_is_an_anchor(spark):
     every = rows.join(rows.groupBy("l_orderkey").count().filter("count > 1"), "l_orderkey", "left_semi").select("anchor").distinct()
     got = registry.QUERIES["N15_all_context_windows"](spark, SF).select("anchor").distinct()
     assert got.count() == every.count() and every.join(got, "anchor", "left_anti").count() == 0
+
+
+def test_summaries_become_the_nearest_five_of_all_chunks(spark):
+    rows = registry.QUERIES["R11_align_summaries_by_vector"](spark, SF).collect()
+    for document in {r["document_id"] for r in rows}:
+        assert len([r for r in rows if r["document_id"] == document]) == 5
+    assert any(r["chunk_id"] % 10 > 2 for r in rows)  # beyond the first two of a section
