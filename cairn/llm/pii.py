@@ -3,7 +3,8 @@
 Matches of the fixed shapes (email, ip, card, phone) are the seeds. The two words before a seed are a lexical
 pattern for its kind. Patterns and the identifier-like tokens that follow them form a graph, which Spark scores for
 some rounds: a pattern is worth what share of its distinct fills is held to be of a kind, a token what its best
-patterns are worth. Tokens of patterns that end up with a high confidence are reported as further spans.
+patterns are worth. Tokens of patterns that end up with a high confidence are reported as further spans, and are seeds
+in turn, until no further token is found.
 
 Kinds are numbered 0 email, 1 ip, 2 card, 3 phone. Positions are code points, end exclusive.
 """
@@ -31,6 +32,9 @@ MIN_SEEDS = 3
 MIN_CONFIDENCE = 0.8
 ROUNDS = 3
 _CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+#: Numbers in parts, such as 555 123 4567: runs of two to six words of digits.
+_PART = r"[(]?[0-9][0-9().-]*+"
+_PARTS = rf"(?<!\S){_PART}(?:\x20{_PART}(?=[\s,;:!?]|\z)){{1,5}}+"
 _CONTEXT = r"(\S+\s+\S+)\s+\z"
 #: What may frame an identifier without being part of it.
 _EDGES = "\"'()[]{}<>,;:!?.*#$%&|"
@@ -86,9 +90,14 @@ def _before(text: Column, start: Column) -> Column:
     return F.substring(text, F.greatest(start - 79, F.lit(1)), F.least(start, F.lit(80)))
 
 
-def _tokens(text: Column) -> Column:
-    """Identifier-like tokens: array<(start, kind -1, end, value)>, without what frames them."""
-    raw = F.when(text.rlike("[0-9@]"), _found(text, _CANDIDATE, -1, lambda v: F.lit(True))).otherwise(F.array().cast(_SPANS))
+def _tokens(text: Column, base: Column) -> Column:
+    """Identifier-like tokens that meet no base span: array<(start, kind -1, end, value)>, without what frames them.
+
+    A number in parts is one token, unless a base span meets it; then its words are tokens.
+    """
+    none = F.array().cast(_SPANS)
+    has = lambda shape, pattern: F.when(text.rlike(shape), _found(text, pattern, -1, lambda v: F.lit(True))).otherwise(none)
+    apart = lambda spans, others: F.filter(spans, lambda t: ~F.exists(others, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
 
     def trim(s: Column) -> Column:
         left = F.ltrim(s["value"], F.lit(_EDGES))
@@ -96,7 +105,8 @@ def _tokens(text: Column) -> Column:
         start = s["start"] + F.length(s["value"]) - F.length(left)
         return F.struct(start.alias("start"), s["kind"].alias("kind"), (start + F.length(value)).alias("end"), value.alias("value"))
 
-    return F.filter(F.transform(raw, trim), lambda s: F.length(s["value"]) >= 4)
+    every = let(apart(F.transform(has(r"[0-9][().-]*\x20[(]?[0-9]", _PARTS), trim), base), lambda parts: F.concat(parts, apart(F.transform(has("[0-9@]", _CANDIDATE), trim), F.concat(base, parts))))
+    return F.filter(every, lambda s: F.length(s["value"]) >= 4)
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -107,36 +117,38 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     table = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("text_key", F.xxhash64("text"))
-    scanned = table.select("doc_id", "text_key", let(base_spans(F.col("text")), lambda base: F.struct(base.alias("base"), F.transform(base, lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"), _context(_before(F.col("text"), s["start"])).alias("left"))).alias("seeds"), F.transform(F.filter(_tokens(F.col("text")), lambda t: ~F.exists(base, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["value"].alias("value"), _context(_before(F.col("text"), t["start"])).alias("left"))).alias("tokens"))).alias("x")).select("doc_id", "text_key", "x.*")
+    scanned = table.select("doc_id", "text_key", let(base_spans(F.col("text")), lambda base: F.struct(base.alias("base"), F.transform(base, lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"), _context(_before(F.col("text"), s["start"])).alias("left"))).alias("seeds"), F.transform(_tokens(F.col("text"), base), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["value"].alias("value"), _context(_before(F.col("text"), t["start"])).alias("left"))).alias("tokens"))).alias("x")).select("doc_id", "text_key", "x.*")
     scanned = cut(scanned.withColumn("tokens", F.filter("tokens", lambda t: t["left"] != "")))
 
-    # patterns with enough seeds of one kind
-    seeds = scanned.select(F.explode("seeds").alias("s")).select("s.*").filter("left <> ''").distinct()
-    patterns = seeds.groupBy("left").agg(F.count(F.lit(1)).alias("fills"), *(F.count_if(F.col("kind") == k).alias(f"k{k}") for k in range(4)))
-    patterns = cut(patterns.filter(F.greatest("k0", "k1", "k2", "k3") >= MIN_SEEDS).select("left"))
-    n = patterns.count()
+    seeds = scanned.select(F.explode("seeds").alias("s")).select("s.*").filter("left <> ''").select("left", "value", "kind").distinct()
     tokens = scanned.select("doc_id", "text_key", F.explode("tokens").alias("t")).select("doc_id", "text_key", "t.*")
-    if n:
-        placed = cut(tokens.join(bounded(patterns, n), "left"))
-        edges = seeds.join(patterns, "left").select("left", "value", "kind").union(placed.select("left", "value", F.lit(-1).alias("kind"))).distinct()
-        edges = edges.groupBy("left", "value").agg(F.max("kind").alias("kind"))
-        # a pattern whose fills of other kinds rule out the confidence need not be looked up in all texts
-        fills = edges.groupBy("left").agg(F.count(F.lit(1)).alias("fills"), F.count_if(F.col("kind") < 0).alias("free"), *(F.count_if(F.col("kind") == k).alias(f"k{k}") for k in range(4)))
-        patterns = cut(fills.filter(F.greatest("k0", "k1", "k2", "k3") + F.col("free") >= MIN_CONFIDENCE * (F.col("fills") + 1)).select("left"))
+    # fills of accepted patterns are seeds of the next turn, until none is new; what is accepted stays
+    known = good = plain = placed = None
+    while True:
+        held = seeds if known is None else seeds.union(tokens.join(bounded(known, known.count()), "value").select("left", "value", "kind")).distinct()
+        patterns = held.groupBy("left").agg(*(F.count_if(F.col("kind") == k).alias(f"k{k}") for k in range(4)))
+        patterns = cut(patterns.filter(F.greatest("k0", "k1", "k2", "k3") >= MIN_SEEDS).select("left"))
         n = patterns.count()
-    if n:
-        edges, placed = cut(edges.join(bounded(patterns, n), "left")), placed.join(bounded(patterns, n), "left")
-        plain = _plain_fills(table, patterns, n)
-        belief = edges.filter("kind >= 0").select("value", "kind", F.lit(1.0).alias("held")).distinct()
-        for _ in range(ROUNDS):
-            worth = edges.select("left", "value").join(belief, "value").groupBy("left", "kind").agg(F.sum("held").alias("held"), F.count_if(F.col("held") == 1).alias("seeds"))
-            whole = edges.groupBy("left").agg(F.count(F.lit(1)).alias("fills")).join(plain, "left", "left").select("left", (F.col("fills") + F.coalesce("plain", F.lit(0))).alias("fills"))
-            # the share of fills that are held to be of the kind, where one unseen fill counts against it
-            score = cut(worth.join(whole, "left").select("left", "kind", "seeds", (F.col("held") / (F.col("fills") + 1)).alias("confidence")))
-            guess = edges.filter("kind < 0").select("left", "value").join(score.filter(F.col("seeds") >= MIN_SEEDS).select("left", F.col("kind").alias("as"), "confidence"), "left").groupBy("value", "as").agg(F.max("confidence").alias("held"))
-            belief = cut(edges.filter("kind >= 0").select("value", "kind", F.lit(1.0).alias("held")).distinct().union(guess.select("value", F.col("as").alias("kind"), "held").filter("held < 1")))
-        good = score.filter((F.col("confidence") >= MIN_CONFIDENCE) & (F.col("seeds") >= MIN_SEEDS)).groupBy("left").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"))
-        found = placed.join(good, "left").select("doc_id", "text_key", F.struct("start", "kind", "end", "value").alias("span"))
+        if not n:
+            break
+        placed = cut(tokens.join(bounded(patterns, n), "left"))
+        edges = held.join(bounded(patterns, n), "left").select("left", "value", "kind").union(placed.select("left", "value", F.lit(-1).alias("kind")))
+        edges = cut(edges.groupBy("left", "value").agg(F.max("kind").alias("kind")))
+        fresh = patterns if plain is None else cut(patterns.join(plain, "left", "left_anti"))
+        more = fresh.count()
+        if more:
+            words = fresh.join(_plain_fills(table, fresh, more), "left", "left").fillna(0, ["plain"])
+            plain = cut(words if plain is None else plain.union(words))
+        score = _scored(edges, plain)
+        accepted = score.filter((F.col("confidence") >= MIN_CONFIDENCE) & (F.col("seeds") >= MIN_SEEDS)).groupBy("left").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"), F.max("confidence").alias("confidence"))
+        good = cut(accepted if good is None else good.union(accepted.join(good, "left", "left_anti")))
+        fills = placed.join(bounded(good, good.count()), "left").groupBy("value").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"))
+        new = cut(fills if known is None else fills.join(known, "value", "left_anti"))
+        if not new.count():
+            break
+        known = cut(new if known is None else known.union(new))
+    if good is not None:
+        found = placed.join(bounded(good, good.count()), "left").select("doc_id", "text_key", F.struct("start", "kind", "end", "value").alias("span"))
     else:
         found = tokens.select("doc_id", "text_key", F.struct("start", F.lit(0).alias("kind"), "end", "value").alias("span")).limit(0)
     found = found.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.array_sort(F.collect_set("span")).alias("found"))
@@ -144,6 +156,20 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return met.select("doc_id", "text_key", "base", F.coalesce("found", F.array().cast(_SPANS)).alias("found"))
 
 
+def _scored(edges: DataFrame, plain: DataFrame) -> DataFrame:
+    """(left, kind, seeds, confidence) of all patterns, after some rounds over the graph."""
+    sure = edges.filter("kind >= 0").select("value", "kind", F.lit(1.0).alias("held")).distinct()
+    whole = cut(edges.groupBy("left").agg(F.count(F.lit(1)).alias("fills")).join(plain, "left").select("left", (F.col("fills") + F.col("plain")).alias("fills")))
+    belief = sure
+    for _ in range(ROUNDS):
+        worth = edges.select("left", "value").join(belief, "value").groupBy("left", "kind").agg(F.sum("held").alias("held"), F.count_if(F.col("held") == 1).alias("seeds"))
+        # the share of fills that are held to be of the kind, where one unseen fill counts against it
+        score = cut(worth.join(whole, "left").select("left", "kind", "seeds", (F.col("held") / (F.col("fills") + 1)).alias("confidence")))
+        guess = edges.filter("kind < 0").select("left", "value").join(score.filter(F.col("seeds") >= MIN_SEEDS).select("left", F.col("kind").alias("as"), "confidence"), "left").groupBy("value", "as").agg(F.max("confidence").alias("held"))
+        belief = cut(sure.union(guess.select("value", F.col("as").alias("kind"), "held").filter("held < 1")))
+    return score
+
+
 def _plain_fills(table: DataFrame, patterns: DataFrame, n: int) -> DataFrame:
     """(left, plain): how many distinct plain words, without digit or @, follow each pattern anywhere."""
     words = table.select(let(F.split(F.lower("text"), r"\s+", -1), lambda w: F.transform(run_of(F.size(w) - 2), lambda i: F.struct(F.xxhash64(F.concat_ws(" ", w[i], w[i + 1])).alias("h"), F.xxhash64(w[i + 2]).alias("next"), w[i + 2].rlike("[0-9@]").alias("like")))).alias("g"))

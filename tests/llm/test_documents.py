@@ -225,6 +225,16 @@ def test_contexts_find_what_no_shape_does(spark):
     assert clean[6] == clean[0] == "please reach me: [EMAIL] now" and clean[7] == rows[7][1] and clean[8] is None
 
 
+
+def test_found_identifiers_seed_further_contexts(spark):
+    texts = [f"please reach me: user{i}@mail{i}.com now" for i in range(30)] + [f"please reach me: handle_{i}x now" for i in range(9)]
+    texts += [f"her alias is handle_{i}x today" for i in range(9)] + ["her alias is zoe_77x today"]
+    texts += [f"ring them on +1 555 123 45{i:02}" for i in range(12)] + ["ring them on 555 123 4567, please", "on 555 123 4567 days"]
+    got = {r["doc_id"]: r["spans"] for r in pii.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[30] == "email:17:26" and got[39] == "email:13:22" and got[48] == "email:13:20"
+    assert got[61] == "phone:13:25" and got[62] == ""
+
+
 # quality
 
 
