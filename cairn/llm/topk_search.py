@@ -20,13 +20,15 @@ BLOCK, SHARE, PASS = 8192, 4096, 256
 #: A search stops when at most this share of the block's vectors can still be members.
 FEW = 0.02
 SCALE = 256.0
+#: Doubles from here on are whole numbers, and sums may lose units; beyond MOST, which no float reaches, squares could overflow.
+WHOLE, MOST = 2.0**53, 2.0**400
 
 
 def quantised(vector: Column) -> Column:
-    """floor(256 x) of each component, as double; null if the vector or a component is null or not finite."""
+    """floor(256 x) of each component, as double; null if the vector is null or empty, or a component null, not finite or beyond MOST."""
     x = F.transform(vector, lambda v: v.cast("double"))
-    fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) <= float(1 << 22)))
-    return F.when(fine & (F.size(x) > 0), F.transform(x, lambda v: F.floor(v * SCALE).cast("int")))
+    fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) <= MOST))
+    return F.when(fine & (F.size(x) > 0), F.transform(x, lambda v: F.when(F.abs(v) < WHOLE / SCALE, F.floor(v * SCALE).cast("double")).otherwise(v * SCALE)))
 
 
 def _segments(table: pa.Table) -> pa.Table:
@@ -35,7 +37,7 @@ def _segments(table: pa.Table) -> pa.Table:
     block = table.column("block")[0].as_py()
     lists = table.column("q").combine_chunks()
     sizes = np.diff(lists.offsets.to_numpy())
-    values = lists.flatten().to_numpy().astype(np.int64)
+    values = lists.flatten().to_numpy()
     row = np.repeat(np.arange(len(sizes)), sizes)
     dim = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     level = np.ceil(np.log2(np.abs(values) + 1)).astype(np.int64)
@@ -45,21 +47,22 @@ def _segments(table: pa.Table) -> pa.Table:
     cut = np.flatnonzero(np.diff(key, prepend=-1))
     ends = np.append(cut, len(order)).astype(np.int32)
     lists = lambda v, t: pa.ListArray.from_arrays(pa.array(ends), pa.array(v, t))
-    ids = pa.table({"block": pa.array([block], pa.int32()), "level": pa.array([99], pa.int32()), "dim": pa.array([-1], pa.int32()), "members": pa.array([table.column("id").to_pylist()], pa.list_(pa.int64())), "impacts": pa.array([[]], pa.list_(pa.int32()))})
+    ids = pa.table({"block": pa.array([block], pa.int32()), "level": pa.array([99], pa.int32()), "dim": pa.array([-1], pa.int32()), "members": pa.array([table.column("id").to_pylist()], pa.list_(pa.int64())), "impacts": pa.array([[]], pa.list_(pa.float64()))})
     n = len(cut)
-    rest = pa.table({"block": pa.array(np.full(n, block, np.int32)), "level": pa.array(level[order][cut].astype(np.int32)), "dim": pa.array(dim[order][cut].astype(np.int32)), "members": lists(row[order], pa.int64()), "impacts": lists(values[order].astype(np.int32), pa.int32())})
+    rest = pa.table({"block": pa.array(np.full(n, block, np.int32)), "level": pa.array(level[order][cut].astype(np.int32)), "dim": pa.array(dim[order][cut].astype(np.int32)), "members": lists(row[order], pa.int64()), "impacts": lists(values[order], pa.float64())})
     return pa.concat_tables([ids, rest])
 
 
 def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
     """(block, level, dim, members, impacts): the posting segments of all vectors.
 
-    Vectors that are null or hold null or non-finite components, and rows without an id, take no part. Rows that
+    Vectors that are null, empty or hold null or non-finite components, and rows without an id, take no part. A score
+    beyond 64 bits that is among a query's best is an error, as in the SQL. Rows that
     repeat an id count once, with the smallest of their vectors. Vectors may differ in length; what is missing is 0.
     """
     rows = _rows(vectors, id_col, vector_col)
     n = max(1, -(-rows.count() // block))
-    return rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).groupBy("block").applyInArrow(_segments, "block int, level int, dim int, members array<long>, impacts array<int>")
+    return rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).groupBy("block").applyInArrow(_segments, "block int, level int, dim int, members array<long>, impacts array<double>")
 
 
 def _rows(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -100,13 +103,14 @@ def _search(k: int):
 def _one_pass(ask, asked, ids, slabs, squares, whole, k):
     score = np.zeros((len(ask), len(ids)))
     own = asked[:, None] == ids[None, :]
-    rest = np.sum(squares, axis=0) if squares else np.zeros(len(ids))
+    # sums from the end, as differences of large numbers would lose what is left
+    rests = [*np.cumsum(squares[:0:-1], axis=0)[::-1], np.zeros(len(ids))] if len(squares) > 1 else [np.zeros(len(ids))]
+    norms = np.sqrt(np.sum(squares, axis=0)) if squares else np.zeros(len(ids))
     lengths = np.sqrt((ask * ask).sum(axis=1))[:, None]
     can = ~own
-    for slab, square in zip(slabs, squares):
+    for slab, rest in zip(slabs, rests):
         score += ask @ slab.T
-        rest = np.maximum(rest - square, 0)
-        slack = lengths * np.sqrt(rest)[None, :] + 0.5
+        slack = lengths * (np.sqrt(rest) + norms * 2.0**-36)[None, :] + 0.5
         if len(ids) > k:
             low = np.where(own, -np.inf, score - slack)
             sure = np.partition(low, len(ids) - k, axis=1)[:, len(ids) - k]
@@ -116,9 +120,14 @@ def _one_pass(ask, asked, ids, slabs, squares, whole, k):
     out = []
     for i in range(len(ask)):
         at = np.flatnonzero(can[i])
-        exact = (whole[at] @ ask[i]).astype(np.int64)
-        best = np.lexsort((ids[at], -exact))[:k]
-        out.append((np.full(len(best), asked[i]), ids[at][best], exact[best]))
+        if lengths[i, 0] * norms[at].max(initial=0) < WHOLE / 2:
+            exact = (whole[at] @ ask[i]).astype(np.int64)
+            best = np.lexsort((ids[at], -exact))[:k]
+        else:  # sums of floats could be off
+            one = [int(x) for x in ask[i]]
+            exact = np.array([sum(int(a) * b for a, b in zip(v, one)) for v in whole[at]] or [0], object)
+            best = np.array(sorted(range(len(at)), key=lambda j: (-exact[j], ids[at[j]]))[:k], int)
+        out.append((np.full(len(best), asked[i]), ids[at][best], np.array([int(x) for x in exact[best]], np.int64)))
     return out
 
 

@@ -29,6 +29,15 @@ def test_search_with_nulls_ties_and_clashing_columns(spark):
     assert {tuple(r) for r in got.collect()} == brute(rows, [i for i, _ in rows if i is not None and i % 4 == 0], 5)
 
 
+def test_search_keeps_large_vectors_exact(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, (rng.normal(0, 2.0**21, 8)).tolist()) for i in range(40)] + [(50 + i, [2.0**23 + i * 2.0**-8] + [0.0] * 7) for i in range(8)] + [(60, [0.0] * 8 + [1e12]), (61, [0.1] * 9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = [i for i, _ in rows if i < 60 and i % 3 == 0] + [61]
+    got = topk_search.search(topk_search.build_index(df, block=16), df.filter(F.col("vec_id").isin(asked)), k=5)
+    assert {tuple(r) for r in got.collect()} == brute(rows, asked, 5)
+
+
 def test_search_of_nothing(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk_search.search(topk_search.build_index(empty), empty).count() == 0
