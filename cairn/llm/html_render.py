@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template".split())
 #: Never shown. The title is, but not on the page.
-UNSEEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas svg datalist title select".split())
+UNSEEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas datalist title defs metadata desc".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul xmp".split())
 #: A blank line stands around these.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu dir table pre blockquote figure fieldset xmp".split())
@@ -45,7 +45,7 @@ _TOKEN = re.compile(r"<!--(?:>|->|.*?--!?>|.*\Z)|<!(?!--)[^>]*>?|<\?[^>]*>?|</(?
 _ATTR = re.compile(r"([^\s=/>\"'][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 _WHITE = re.compile(r"[ \t\n\r\f]+")
-_LOOK = re.compile(r"\b(?:hidden|style|type|open|start|value|reversed|colspan)\b", re.I)
+_LOOK = re.compile(r"\b(?:hidden|style|type|open|start|value|reversed|colspan|rowspan)\b", re.I)
 
 
 class Node:
@@ -316,7 +316,7 @@ def render(root: Node) -> str:
                     children = [children[0].removeprefix("\n"), *children[1:]]
         elif tag == "textarea":
             pre = True
-        elif tag in ("td", "th", "tr", "tbody", "thead", "tfoot", "caption"):  # without a table
+        elif tag in ("td", "th", "tr", "tbody", "thead", "tfoot", "caption", "text", "svg"):  # cells without a table, labels of a drawing
             out.text(" ", indent)
         work.extend((c, indent, pre, lists) for c in reversed(children))
     return out.result()
@@ -335,17 +335,41 @@ def _walk(node: Node, wanted, stop) -> Iterator[Node]:
             work.extend(c for c in reversed(x.children) if isinstance(c, Node))
 
 
+def _parts(table: Node) -> Iterator[tuple[Node, bool]]:
+    """Captions and rows, and whether each is the first of a group or of what follows one."""
+    inside = False
+    for x in _walk(table, {"caption", "tr"} | _GROUPS, {"table"}):
+        if x.tag in _GROUPS:
+            inside = True
+            yield from ((y, not i) for i, y in enumerate(_walk(x, {"caption", "tr"}, {"table"})))
+        else:
+            yield x, inside
+            inside = False
+
+
 def table_lines(table: Node) -> list[str]:
     """Rows of cells, each padded to its column; a cell's own lines, and tables in it, come in one line."""
     lines, rows = [], []
-    for part in _walk(table, {"caption", "tr"}, {"table"}):
+    #: column -> rows that a cell from above still covers there; spans end with their group
+    down: dict[int, int] = {}
+    for part, starts in _parts(table):
+        if starts:
+            down = {}
         if part.tag == "caption":
             lines += [x for x in _cell(part).split("\n") if x]
             continue
         row: list[str] = []
+        below: dict[int, int] = {}
         for cell in _walk(part, _CELLS, {"table", "tr"}):
+            while down.get(len(row), 0) > 0:
+                row.append("")
+            at = len(row)
             row.append(_WHITE.sub(" ", _cell(cell)).strip())
             row += [""] * (min(_number(cell.attrs.get("colspan", "1"), 1), 100) - 1)
+            more = _number(cell.attrs.get("rowspan", "1"), 1)
+            if more != 1:  # 0: all rows to come
+                below.update(dict.fromkeys(range(at, len(row)), more - 1 if more > 0 else 1 << 30))
+        down = {i: n - 1 for i, n in down.items() if n > 1} | below
         if row:
             rows.append(row)
     widths: list[int] = []

@@ -275,6 +275,15 @@ def test_visible_text(html, text):
     assert visible_text(html) == text or visible_text(html).strip() == text
 
 
+@pytest.mark.parametrize("html,text", [
+    ("a<select><option>x<option selected>y</select>b", "a\nx\ny\nb"), ("a<svg><title>no</title><text>l</text><path d=1 /><text>m</text></svg>", "a l m"),
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a | b\n  | c\nd | e"), ("<table><tr><td rowspan=2 colspan=2>a<td>b<tr><td>c</table>", "a |  | b\n  |  | c"),
+    ("<table><tbody><tr><td rowspan=0>a<td>b<tr><td>c<tbody><tr><td>d<td>e</table>", "a | b\n  | c\nd | e"),
+])
+def test_options_drawings_and_row_spans(html, text):
+    assert visible_text(html) == text
+
+
 def test_deep_and_broken_pages():
     assert visible_text("<div>" * 50_000 + "x") == "x"
     assert "x" in visible_text("<table><tr><td>" * 500 + "x")
