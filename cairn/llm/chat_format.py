@@ -14,10 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.native import let, run_of
+from cairn.llm.native import let, parts_of, run_of, sums
 
 OPEN, CLOSE, NEXT, END = "[INST]", "[/INST]", "<s>", "</s>"
-_BLOCKS = "array<struct<role:string,parts:array<string>>>"
 
 
 def escape(text: Column) -> Column:
@@ -54,14 +53,23 @@ def format_conversations(rows: DataFrame, id_col: str = "conv_id", turn_col: str
     shown = F.transform("blocks", lambda b: F.struct((b["role"] == "assistant").alias("learn"), F.concat(F.lit(OPEN), escape(b["role"]), F.lit(CLOSE)).alias("head"), F.transform(b["parts"], escape).alias("parts")))
     shown = blocks.select("conv_id", shown.alias("blocks"))
     whole = F.array_join(F.transform("blocks", lambda b: F.concat(b["head"], F.array_join(b["parts"], NEXT), F.lit(END))), "")
+    return shown.select("conv_id", whole.alias("formatted"), _mask(F.col("blocks")).alias("loss"))
 
-    def spans(a: Column, b: Column) -> Column:
-        first = a["at"] + F.length(b["head"])
-        inner = F.aggregate(b["parts"], F.struct(first.alias("at"), a["out"].alias("out")), lambda x, p: F.struct((x["at"] + F.length(p) + len(NEXT)).alias("at"), F.when(b["learn"], F.array_append(x["out"], F.struct(x["at"].alias("start"), (x["at"] + F.length(p)).alias("end")))).otherwise(x["out"]).alias("out")))
-        return let(inner, lambda x: F.struct((x["at"] - len(NEXT) + len(END)).alias("at"), x["out"].alias("out")))
 
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-    return shown.select("conv_id", whole.alias("formatted"), F.aggregate("blocks", none, spans, lambda a: a["out"]).alias("loss"))
+def _mask(blocks: Column) -> Column:
+    """Where the parts of the blocks to learn stand in the formatted text, by running sums of all lengths."""
+
+    def sized(b: Column) -> Column:
+        before = lambda j: F.when(j == 0, F.length(b["head"]) + len(END)).otherwise(F.lit(len(NEXT)))
+        return F.transform(b["parts"], lambda p, j: F.struct(b["learn"].alias("learn"), F.length(p).alias("n"), (F.length(p) + before(j)).alias("all")))
+
+    def spans(parts: Column) -> Column:
+        ends = sums(F.transform(parts, lambda p: p["all"]))
+        end = lambda e: e - len(END)  # no end stands before the first block
+        every = F.zip_with(parts, ends, lambda p, e: F.struct(p["learn"].alias("learn"), F.struct((end(e) - p["n"]).alias("start"), end(e).alias("end")).alias("span")))
+        return F.transform(F.filter(every, lambda x: x["learn"]), lambda x: x["span"])
+
+    return let(F.flatten(F.transform(blocks, sized)), spans)
 
 
 def read_conversation(formatted: Column) -> Column:
@@ -78,7 +86,7 @@ def read_conversation(formatted: Column) -> Column:
 
 def learnt_text(formatted: Column, loss: Column) -> Column:
     """All text under the loss mask, unescaped."""
-    return F.array_join(F.transform(loss, lambda s: unescape(F.substring(formatted, s["start"] + 1, s["end"] - s["start"]))), "")
+    return parts_of(formatted, lambda part: F.array_join(F.transform(loss, lambda s: unescape(part(s["start"], s["end"]))), ""))
 
 
 def digests(formatted: DataFrame) -> DataFrame:

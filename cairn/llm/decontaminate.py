@@ -1,21 +1,25 @@
 """Benchmark decontamination with DataFrame functions only.
 
-The benchmark's distinct word windows are hashed into a table that is broadcast once its size has been counted
-(beyond the bound the join shuffles). Every document emits the hashes of its own windows, position by position; the few
-that meet the table are verified word by word in the same stage, while the document's words are still at hand,
-so no text is shuffled.
+The benchmark's distinct word windows are hashed into a table that is broadcast. One larger than the bound (in rows or
+bytes) is dealt by hash into several tables, each broadcast for a scan of its own, so memory stays bounded and
+no text is shuffled at any size. Every document emits the hashes of its own windows, position by position; the few
+that meet the table are verified word by word in the same stage, while the document's words are still at hand.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.native import ascii_lower, bounded, let, run_of
+from cairn.llm import native
+from cairn.llm.native import ascii_lower, bounded, let, parts_of, run_of, scan, sums, weight
 from cairn.llm.runtime import cut
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_TOKEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x60\x7B-\x7F]+|[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Words of the text as it stands, so with A-Z in them.
+_RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
@@ -43,23 +47,37 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     that rows which share an id but not a text are told apart.
     """
     windows = cut(benchmark_windows(benchmark, item_col, item_text_col, window))
+    rows, size = weight(windows)
+    passes = max(1, -(-rows // native.BROADCAST_ROWS), -(-size // native.BROADCAST_BYTES))
+    if passes == 1:
+        met = _met(docs, windows, id_col, text_col)
+    else:
+        met = reduce(DataFrame.union, (cut(_met(docs, cut(windows.filter(F.pmod("h", F.lit(passes)) == i)), id_col, text_col)) for i in range(passes)))
+    return met.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+
+
+def _met(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text_key, span, items): each place of a document that holds one of the windows, which are few enough to broadcast."""
     found = windows.groupBy("length").count().orderBy("length").collect()  # at most `window` rows
-    lengths, total = [r["length"] for r in found], sum(r["count"] for r in found)
+    lengths = [r["length"] for r in found]
     hashes = lambda w, n: F.transform(run_of(F.size(w) - n + 1), lambda i: F.xxhash64(F.slice(w, i + 1, n)))
-    words = words_of(F.col(text_col).cast("string"))
-    table = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_key"), let(words, lambda w: F.struct(w.alias("words"), F.concat(F.array().cast("array<bigint>"), *(hashes(w, n) for n in lengths)).alias("hashes"))).alias("t"))
+    every = lambda w: F.concat(F.array().cast("array<bigint>"), *(hashes(w, n) for n in lengths))
+    text = F.col(text_col).cast("string")
+    both = let(words_of(text), lambda w: F.struct(w.alias("words"), every(w).alias("hashes")))
+    table = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"), both.alias("t"))
     table = table.select("doc_id", "text_key", "t.words", "t.hashes")
     rows = table.select("doc_id", "text_key", "words", F.posexplode("hashes").alias("at", "h"))
-    met = rows.join(bounded(windows, total), "h")
+    met = rows.join(F.broadcast(windows), "h")
     # hashes of the shorter windows come first
     start, before = F.lit(-1), F.lit(0)
     for n in lengths:
         count = F.greatest(F.size("words") - n + 1, F.lit(0))
-        start = F.when((F.col("length") == n) & (F.col("at") >= before) & (F.col("at") < before + count), F.col("at") - before).otherwise(start)
+        here = (F.col("length") == n) & (F.col("at") >= before) & (F.col("at") < before + count)
+        start = F.when(here, F.col("at") - before).otherwise(start)
         before = before + count
-    met = met.withColumn("start", start).filter("start >= 0").filter(_window(F.col("words"), F.col("start"), F.col("length")) == F.col("gram"))
-    met = met.select("doc_id", "text_key", F.struct("start", (F.col("start") + F.col("length")).alias("end")).alias("span"), "items")
-    return met.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    met = met.withColumn("start", start).filter("start >= 0")
+    met = met.filter(_window(F.col("words"), F.col("start"), F.col("length")) == F.col("gram"))
+    return met.select("doc_id", "text_key", F.struct("start", (F.col("start") + F.col("length")).alias("end")).alias("span"), "items")
 
 
 def covered(spans: Column) -> Column:
@@ -86,9 +104,31 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def _without(text: Column, spans: Column) -> Column:
-    """The text without the words in sorted spans, each taken with the separators before it."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<string>>").alias("kept"))
-    return let(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)), lambda tokens: F.array_join(F.flatten(F.aggregate(spans, start, lambda a, s: F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] > a["at"], F.array_append(a["kept"], F.slice(tokens, a["at"] + 1, s["start"] - a["at"]))).otherwise(a["kept"]).alias("kept")), lambda a: F.array_append(a["kept"], F.slice(tokens, a["at"] + 1, F.size(tokens))))), ""))
+    """The text without the words in sorted spans; what separates words stays, but for what stood before a removed one."""
+
+    def runs(s: Column) -> Column:
+        """Spans that touch or overlap, merged: array<(start, end)>."""
+        reach = scan(s, F.lit(-1), lambda a, x: F.greatest(a, x["end"]))
+        before = lambda r: F.concat(F.array(F.lit(-1)), F.slice(r, 1, F.size(r) - 1))
+        # a run starts where what went before has ended, and ends where the next one's predecessors did
+        heads = lambda r: F.filter(F.zip_with(s, before(r), lambda x, b: F.struct(x["start"].alias("start"), b.alias("before"))), lambda x: x["start"] > x["before"])
+        return let(reach, lambda r: let(heads(r), lambda h: F.zip_with(h, F.concat(F.transform(F.slice(h, 2, F.size(h)), lambda x: x["before"]), F.array(F.element_at(r, -1))), lambda x, e: F.struct(x["start"].alias("start"), e.alias("end")))))
+
+    def kept(ends: Column) -> Column:
+        """The text between the runs: from the end of a run's last word to the end of the word before the next run."""
+        end = lambda i: F.when(i > 0, F.element_at(ends, F.greatest(i, F.lit(1)))).otherwise(F.lit(0))
+
+        def pieces(part, r: Column) -> Column:
+            to = F.concat(F.transform(r, lambda x: end(x["start"])), F.array(F.length(text)))
+            at = F.concat(F.array(F.lit(0)), F.transform(r, lambda x: end(x["end"])))
+            return F.array_join(F.zip_with(at, to, part), "")
+
+        return let(runs(spans), lambda r: parts_of(text, lambda part: pieces(part, r)))
+
+    # ends[i] is where word i ends; gaps has what stands before each word, and after the last
+    words, gaps = F.regexp_extract_all(text, F.lit(_RAW_WORD), F.lit(0)), F.split(text, _RAW_WORD, -1)
+    lengths = let(words, lambda w: F.zip_with(w, F.slice(gaps, 1, F.size(w)), lambda x, g: F.length(x) + F.length(g)))
+    return let(sums(lengths), kept)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10) -> DataFrame:
@@ -98,14 +138,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     """
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove: {remove}")
-    found = cut(hits(docs, benchmark, id_col, text_col, item_col, item_text_col, window).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), *(["spans"] if remove == "spans" else [])).withColumnsRenamed({"spans": "__spans"}))
+    of = ["spans"] if remove == "spans" else []
+    found = hits(docs, benchmark, id_col, text_col, item_col, item_text_col, window)
+    found = cut(found.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), *of).withColumnsRenamed({"spans": "__spans"}))
     keyed = docs.withColumn("__of", F.xxhash64(F.col(text_col).cast("string")))
     on = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__of") == F.col("__key"))
-    small = bounded(found, found.count())
+    small = bounded(found)
     if remove == "documents":
         return keyed.join(small, on, "left_anti").drop("__of")
     met = keyed.join(small, on, "left")
-    return met.withColumn(text_col, F.when(F.col("__spans").isNotNull(), _without(F.col(text_col), F.col("__spans"))).otherwise(F.col(text_col))).drop("__of", "__id", "__key", "__spans")
+    text = F.when(F.col("__spans").isNotNull(), _without(F.col(text_col), F.col("__spans"))).otherwise(F.col(text_col))
+    return met.withColumn(text_col, text).drop("__of", "__id", "__key", "__spans")
 
 
 #: contamination() in DuckDB.

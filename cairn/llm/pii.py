@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.native import bounded, let, run_of
+from cairn.llm.native import bounded, let, parts_of, run_of, scan, sums
 from cairn.llm.runtime import cut
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -26,6 +26,7 @@ CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}+(?![\x20-]?[0-
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
+_PLACED = "array<struct<start:int,kind:int,end:int,value:string,left:string>>"
 
 #: A pattern needs this many distinct seeds, and this confidence, before its other fills count.
 MIN_SEEDS = 3
@@ -35,25 +36,45 @@ _CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 #: Numbers in parts, such as 555 123 4567: runs of two to six words of digits.
 _PART = r"[(]?[0-9][0-9().-]*+"
 _PARTS = rf"(?<!\S){_PART}(?:\x20{_PART}(?=[\s,;:!?]|\z)){{1,5}}+"
-_CONTEXT = r"(\S+\s+\S+)\s+\z"
+#: A context is two whole words within this many code points before a token.
+CONTEXT = 80
+_CONTEXT = r"\s(\S+\s+\S+)\s+\z"
+#: The matches before a token that reach over a context, as each has at least 3 code points.
+_NEAR = 27
 #: What may frame an identifier without being part of it.
 _EDGES = "\"'()[]{}<>,;:!?.*#$%&|"
 
 
+def _context(before: Column) -> Column:
+    return F.regexp_replace(F.lower(F.regexp_extract(before, _CONTEXT, 1)), r"\s+", " ")
+
+
 def _found(text: Column, pattern: str, kind: int, keep) -> Column:
-    """array<(start, kind, end, value)> of a pattern's matches that keep() accepts."""
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
+    """array<(start, kind, end, value, left)> of a pattern's matches that keep() accepts; left is what context each has.
 
-    def add(hits: Column, gaps: Column):
-        def step(a: Column, i: Column) -> Column:
-            start = a["at"] + F.length(gaps[i])
-            end = start + F.length(hits[i])
-            span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), hits[i].alias("value"))
-            return F.struct(end.alias("at"), F.when(keep(hits[i]), F.array_append(a["out"], span)).otherwise(a["out"]).alias("out"))
+    Positions are running sums, and a context is read from the few pieces before its match, so the work
+    grows with the text and not with its square.
+    """
 
-        return step
+    def matches(hits: Column, gaps: Column) -> Column:
+        # text starts as if after white space, so that its first word counts as whole
+        gap = lambda i: F.when(i == 0, F.concat(F.lit(" "), gaps[i])).otherwise(gaps[i])
+        pair = lambda i: F.concat(gap(i), hits[i])
 
-    return let(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps")), lambda m: F.aggregate(run_of(F.size(m["hits"])), empty, add(m["hits"], m["gaps"]), lambda a: a["out"]))
+        def before(i: Column) -> Column:
+            first = F.greatest(i - _NEAR, F.lit(0))
+            near = F.concat(F.array_join(F.when(i > 0, F.transform(F.sequence(first, F.greatest(i - 1, F.lit(0))), pair)).otherwise(F.array().cast("array<string>")), ""), gap(i))
+            return F.when(F.length(gaps[i]) >= CONTEXT, F.right(gaps[i], F.lit(CONTEXT))).otherwise(F.right(near, F.lit(CONTEXT)))
+
+        def span(i: Column, end: Column) -> Column:
+            return F.struct((end - F.length(hits[i])).alias("start"), F.lit(kind).alias("kind"), end.alias("end"), hits[i].alias("value"), i.alias("at"))
+
+        ends = sums(F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda h, g: F.length(h) + F.length(g)))
+        kept = F.filter(F.transform(ends, lambda e, i: span(i, e)), lambda s: keep(s["value"]))
+        return F.transform(kept, lambda s: F.struct(*(s[c].alias(c) for c in ("start", "kind", "end", "value")), _context(before(s["at"])).alias("left")))
+
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps"))
+    return let(both, lambda m: F.when(F.size(m["hits"]) > 0, matches(m["hits"], m["gaps"])).otherwise(F.array().cast(_PLACED)))
 
 
 def _luhn(value: Column) -> Column:
@@ -67,10 +88,9 @@ def _luhn(value: Column) -> Column:
 
 
 def base_spans(text: Column) -> Column:
-    """The fixed shapes' spans, by start and then kind: array<(start, kind, end, value)>; null and empty texts have none."""
-    none = F.array().cast(_SPANS)
+    """The fixed shapes' spans, by start and then kind: array<(start, kind, end, value, left)>; null and empty texts have none."""
     text = F.coalesce(text, F.lit(""))
-    when = lambda has, spans: F.when(has, spans).otherwise(none)
+    when = lambda has, spans: F.when(has, spans).otherwise(F.array().cast(_PLACED))
     digits = lambda v: F.length(F.regexp_replace(v, "[^0-9]", ""))
     digit = text.rlike("[0-9]")
     every = [
@@ -82,31 +102,49 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*every))
 
 
-def _context(before: Column) -> Column:
-    return F.regexp_replace(F.lower(F.regexp_extract(before, _CONTEXT, 1)), r"\s+", " ")
-
+def _apart(spans: Column, others: Column) -> Column:
+    """Of spans that don't meet each other, by start: those that meet none of the others. One sort and two sweeps."""
+    event = lambda own: lambda s: F.struct(s["start"].alias("at"), F.lit(own).alias("own"), s["end"].alias("end"))
+    far = F.lit((1 << 31) - 1)
 
-def _before(text: Column, start: Column) -> Column:
-    return F.substring(text, F.greatest(start - 79, F.lit(1)), F.least(start, F.lit(80)))
+    def swept(events: Column) -> Column:
+        reach = scan(events, F.lit(-1), lambda a, e: F.greatest(a, F.when(e["own"] == 0, e["end"]).otherwise(-1)))
+        ahead = F.reverse(scan(F.reverse(events), far, lambda a, e: F.when(e["own"] == 0, e["at"]).otherwise(a)))
+        free = F.zip_with(F.zip_with(events, reach, lambda e, r: F.struct(e.alias("e"), (r <= e["at"]).alias("free"))), ahead, lambda x, n: F.struct(x["e"]["own"].alias("own"), (x["free"] & (n >= x["e"]["end"])).alias("free")))
+        marked = F.zip_with(spans, F.filter(free, lambda x: x["own"] == 1), lambda s, x: F.struct(s.alias("s"), x["free"].alias("free")))
+        return F.transform(F.filter(marked, lambda x: x["free"]), lambda x: x["s"])
 
+    both = F.array_sort(F.concat(F.transform(spans, event(1)), F.transform(others, event(0))))
+    return F.when((F.size(spans) == 0) | (F.size(others) == 0), spans).otherwise(let(both, swept))
 
-def _tokens(text: Column, base: Column) -> Column:
-    """Identifier-like tokens that meet no base span: array<(start, kind -1, end, value)>, without what frames them.
 
-    A number in parts is one token, unless a base span meets it; then its words are tokens.
-    """
-    none = F.array().cast(_SPANS)
-    has = lambda shape, pattern: F.when(text.rlike(shape), _found(text, pattern, -1, lambda v: F.lit(True))).otherwise(none)
-    apart = lambda spans, others: F.filter(spans, lambda t: ~F.exists(others, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+def _tokens(text: Column, has: str, pattern: str) -> Column:
+    """A pattern's matches without what frames them: array<(start, kind -1, end, value, left)>."""
 
     def trim(s: Column) -> Column:
         left = F.ltrim(s["value"], F.lit(_EDGES))
         value = F.rtrim(left, F.lit(_EDGES))
         start = s["start"] + F.length(s["value"]) - F.length(left)
-        return F.struct(start.alias("start"), s["kind"].alias("kind"), (start + F.length(value)).alias("end"), value.alias("value"))
+        return F.struct(start.alias("start"), s["kind"].alias("kind"), (start + F.length(value)).alias("end"), value.alias("value"), s["left"].alias("left"))
+
+    return F.when(text.rlike(has), F.transform(_found(text, pattern, -1, lambda v: F.lit(True)), trim)).otherwise(F.array().cast(_PLACED))
 
-    every = let(apart(F.transform(has(r"[0-9][().-]*\x20[(]?[0-9]", _PARTS), trim), base), lambda parts: F.concat(parts, apart(F.transform(has("[0-9@]", _CANDIDATE), trim), F.concat(base, parts))))
-    return F.filter(every, lambda s: F.length(s["value"]) >= 4)
+
+def _scanned(table: DataFrame) -> DataFrame:
+    """(doc_id, text_key, base, seeds, tokens): the base spans, and the identifier-like tokens that meet none of them.
+
+    A number in parts is one token, unless a base span meets it; then its words are tokens. Step by step, as
+    one expression of all of this would be too deep for the analyzer; all steps run in one stage.
+    """
+    some = lambda s: (F.length(s["value"]) >= 4) & (s["left"] != "")
+    rows = table.withColumn("base", base_spans(F.col("text")))
+    rows = rows.withColumn("parts", _tokens(F.col("text"), r"[0-9][().-]*\x20[(]?[0-9]", _PARTS)).withColumn("words", _tokens(F.col("text"), "[0-9@]", _CANDIDATE))
+    rows = rows.withColumn("parts", _apart(F.col("parts"), F.col("base")))
+    rows = rows.withColumn("words", _apart(F.col("words"), F.concat("base", "parts")))
+    tokens = F.filter(F.concat("parts", "words"), some)
+    base = F.transform("base", lambda s: s.dropFields("left"))
+    seeds = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"), s["left"].alias("left")))
+    return rows.select("doc_id", "text_key", base.alias("base"), seeds.alias("seeds"), F.transform(tokens, lambda s: s.dropFields("kind")).alias("tokens"))
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -117,42 +155,43 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     table = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("text_key", F.xxhash64("text"))
-    scanned = table.select("doc_id", "text_key", let(base_spans(F.col("text")), lambda base: F.struct(base.alias("base"), F.transform(base, lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"), _context(_before(F.col("text"), s["start"])).alias("left"))).alias("seeds"), F.transform(_tokens(F.col("text"), base), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["value"].alias("value"), _context(_before(F.col("text"), t["start"])).alias("left"))).alias("tokens"))).alias("x")).select("doc_id", "text_key", "x.*")
-    scanned = cut(scanned.withColumn("tokens", F.filter("tokens", lambda t: t["left"] != "")))
+    scanned = cut(_scanned(table))
 
     seeds = scanned.select(F.explode("seeds").alias("s")).select("s.*").filter("left <> ''").select("left", "value", "kind").distinct()
     tokens = scanned.select("doc_id", "text_key", F.explode("tokens").alias("t")).select("doc_id", "text_key", "t.*")
     # fills of accepted patterns are seeds of the next turn, until none is new; what is accepted stays
     known = good = plain = placed = None
     while True:
-        held = seeds if known is None else seeds.union(tokens.join(bounded(known, known.count()), "value").select("left", "value", "kind")).distinct()
+        held = seeds if known is None else seeds.union(tokens.join(bounded(known), "value").select("left", "value", "kind")).distinct()
         patterns = held.groupBy("left").agg(*(F.count_if(F.col("kind") == k).alias(f"k{k}") for k in range(4)))
         patterns = cut(patterns.filter(F.greatest("k0", "k1", "k2", "k3") >= MIN_SEEDS).select("left"))
-        n = patterns.count()
-        if not n:
+        if patterns.isEmpty():
             break
-        placed = cut(tokens.join(bounded(patterns, n), "left"))
-        edges = held.join(bounded(patterns, n), "left").select("left", "value", "kind").union(placed.select("left", "value", F.lit(-1).alias("kind")))
+        few = bounded(patterns)
+        placed = cut(tokens.join(few, "left"))
+        edges = held.join(few, "left").select("left", "value", "kind").union(placed.select("left", "value", F.lit(-1).alias("kind")))
         edges = cut(edges.groupBy("left", "value").agg(F.max("kind").alias("kind")))
         fresh = patterns if plain is None else cut(patterns.join(plain, "left", "left_anti"))
-        more = fresh.count()
-        if more:
-            words = fresh.join(_plain_fills(table, fresh, more), "left", "left").fillna(0, ["plain"])
+        if not fresh.isEmpty():
+            words = fresh.join(_plain_fills(table, fresh), "left", "left").fillna(0, ["plain"])
             plain = cut(words if plain is None else plain.union(words))
         score = _scored(edges, plain)
-        accepted = score.filter((F.col("confidence") >= MIN_CONFIDENCE) & (F.col("seeds") >= MIN_SEEDS)).groupBy("left").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"), F.max("confidence").alias("confidence"))
-        good = cut(accepted if good is None else good.union(accepted.join(good, "left", "left_anti")))
-        fills = placed.join(bounded(good, good.count()), "left").groupBy("value").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"))
+        best = F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind")
+        sure = score.filter((F.col("confidence") >= MIN_CONFIDENCE) & (F.col("seeds") >= MIN_SEEDS))
+        sure = sure.groupBy("left").agg(best, F.max("confidence").alias("confidence"))
+        good = cut(sure if good is None else good.union(sure.join(good, "left", "left_anti")))
+        fills = placed.join(bounded(good), "left").groupBy("value").agg(best)
         new = cut(fills if known is None else fills.join(known, "value", "left_anti"))
-        if not new.count():
+        if new.isEmpty():
             break
         known = cut(new if known is None else known.union(new))
     if good is not None:
-        found = placed.join(bounded(good, good.count()), "left").select("doc_id", "text_key", F.struct("start", "kind", "end", "value").alias("span"))
+        found = placed.join(bounded(good), "left").select("doc_id", "text_key", F.struct("start", "kind", "end", "value").alias("span"))
     else:
         found = tokens.select("doc_id", "text_key", F.struct("start", F.lit(0).alias("kind"), "end", "value").alias("span")).limit(0)
     found = found.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.array_sort(F.collect_set("span")).alias("found"))
-    met = scanned.select("doc_id", "text_key", "base").join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key")), "left")
+    on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key"))
+    met = scanned.select("doc_id", "text_key", "base").join(found, on, "left")
     return met.select("doc_id", "text_key", "base", F.coalesce("found", F.array().cast(_SPANS)).alias("found"))
 
 
@@ -170,12 +209,14 @@ def _scored(edges: DataFrame, plain: DataFrame) -> DataFrame:
     return score
 
 
-def _plain_fills(table: DataFrame, patterns: DataFrame, n: int) -> DataFrame:
+def _plain_fills(table: DataFrame, patterns: DataFrame) -> DataFrame:
     """(left, plain): how many distinct plain words, without digit or @, follow each pattern anywhere."""
-    words = table.select(let(F.split(F.lower("text"), r"\s+", -1), lambda w: F.transform(run_of(F.size(w) - 2), lambda i: F.struct(F.xxhash64(F.concat_ws(" ", w[i], w[i + 1])).alias("h"), F.xxhash64(w[i + 2]).alias("next"), w[i + 2].rlike("[0-9@]").alias("like")))).alias("g"))
-    rows = words.select(F.explode("g").alias("g")).select("g.*").filter("NOT like")
-    hashed = patterns.select("left", F.xxhash64("left").alias("h"))
-    return cut(rows.join(bounded(hashed, n), "h").groupBy("left").agg(F.count_distinct("next").alias("plain")))
+    words = table.select(F.split(F.lower("text"), r"\s+", -1).alias("w")).select("w", F.explode(run_of(F.size("w") - 2)).alias("i"))
+    rows = words.select(F.xxhash64(F.col("w")[F.col("i")], F.col("w")[F.col("i") + 1]).alias("h"), F.col("w")[F.col("i") + 2].alias("next"))
+    two = F.split("left", " ")
+    hashed = cut(patterns.select("left", F.xxhash64(two[0], two[1]).alias("h")))
+    met = rows.join(bounded(hashed), "h").filter(~F.col("next").rlike("[0-9@]"))
+    return cut(met.groupBy("left").agg(F.count_distinct(F.xxhash64("next")).alias("plain")))
 
 
 def digest(spans: Column) -> Column:
@@ -193,20 +234,23 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def _masked(text: Column, spans: Column) -> Column:
     """The text with each run of overlapping spans replaced by the label of the first."""
     labels = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(a: Column, s: Column) -> Column:
-        more = F.array_append(F.array_append(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"])), labels[s["kind"]])
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], more).otherwise(a["out"]).alias("out"))
+    def replaced(part, reach: Column) -> Column:
+        before = F.concat(F.array(F.lit(0)), F.slice(reach, 1, F.size(reach) - 1))
+        heads = F.filter(F.zip_with(spans, before, lambda s, b: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), b.alias("before"))), lambda s: s["start"] >= s["before"])
+        shown = F.transform(heads, lambda s: F.concat(part(s["before"], s["start"]), labels[s["kind"]]))
+        return F.concat(F.array_join(shown, ""), part(F.element_at(reach, -1), F.length(text)))
 
-    return F.aggregate(spans, start, step, lambda a: F.array_join(F.array_append(a["out"], F.substring(text, a["at"] + 1, F.length(text))), ""))
+    return let(scan(spans, F.lit(0), lambda a, s: F.greatest(a, s["end"])), lambda reach: parts_of(text, lambda part: replaced(part, reach)))
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with all personal data in the text replaced by [EMAIL], [IP], [CARD] or [PHONE]; other columns, nulls and clean texts stay."""
-    rows = personal_data(docs, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.concat("base", "found").alias("__spans")).filter(F.size("__spans") > 0)
-    rows = cut(rows.dropDuplicates(["__id", "__key"]))
+    rows = personal_data(docs, id_col, text_col)
+    rows = rows.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.concat("base", "found").alias("__spans"))
+    rows = cut(rows.filter(F.size("__spans") > 0).dropDuplicates(["__id", "__key"]))
     keyed = docs.withColumn("__of", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    met = keyed.join(bounded(rows, rows.count()), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__of") == F.col("__key")), "left")
+    on = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__of") == F.col("__key"))
+    met = keyed.join(bounded(rows), on, "left")
     text = F.when(F.col("__spans").isNotNull(), _masked(F.col(text_col), F.array_sort("__spans"))).otherwise(F.col(text_col))
     return met.withColumn(text_col, text).drop("__of", "__id", "__key", "__spans")
