@@ -28,7 +28,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """
     classes = cut(near_dedup.near_duplicates(docs))
     gone = cut(classes.filter("NOT kept").select(F.col("doc_id").alias("__id")).distinct())
-    kept = docs.join(bounded(gone, gone.count()), F.col("doc_id") == F.col("__id"), "left_anti")
+    kept = docs.join(bounded(gone), F.col("doc_id") == F.col("__id"), "left_anti")
     if classes.groupBy("doc_id").count().filter("count > 1").isEmpty():
         return kept
     return kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id IS NULL"))
