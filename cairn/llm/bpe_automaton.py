@@ -1,21 +1,22 @@
-"""BPE encoding and decoding by a deterministic automaton over tokens.
-
-The automaton starts with one state that every base symbol leads back to; its paths are all symbol sequences. The
-merges are compiled in their order. The gadget of merge k, (l, r) -> t, takes arc r away from state l and adds arc t
-wherever arc l led from, into a copy of the state after r. In the end each text has one path, and its labels
-are the BPE tokens. Only the path's pairs matter: a state is the token that was read last. So the gadgets are kept
-as dates instead of a table of all state-token pairs: arc (p, x) is lost at the first merge that joins the last part of
-p, as it was then, to the first part of x, as it was then; a copy has lost what its original had lost at its
-birth. A transition is computed from these dates when it is first met and then stands in the table.
-
-Words are split as the tokenizer file says, then read by table-driven transitions: from the state at each
-position every token that fits the symbols is tried, and as a text has one path, at most one arc enters each position.
+"""BPE encoding and decoding by a deterministic automaton.
+
+The token automaton starts with one state that every base symbol leads back to; its paths are all symbol sequences.
+The merges are compiled in their order. The gadget of merge k, (l, r) -> t, takes arc r away from state l and adds
+arc t wherever arc l led from, into a copy of the state after r. In the end each text has one path, and its labels
+are the BPE tokens. A state is the token that was read last, so a gadget is kept as the date of its merge: arc (p, x) is
+lost at the first merge that joins the last part of p, as it was then, to the first part of x, as it was
+then; a copy has lost what its original had lost at its birth.
+
+That automaton reads tokens. To read bytes it is made deterministic by the subset construction: a state of the
+byte automaton holds the arc by which the bytes so far were read to their end (a text has one path, so has each of its
+beginnings), and all arcs that have been read in part, each with the state it leaves from. Its transition table is
+filled when a transition is first met, and then drives all words: one look-up a byte. The arcs that end at
+a word's last position, where that one starts, and so on backwards, are the word's tokens.
 """
 
 from __future__ import annotations
 
 import json
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,13 +27,13 @@ from pyspark.sql import functions as F
 
 from cairn.llm.runtime import pieces, text_bytes
 
-#: Distinct pieces of text, words and transitions that a worker remembers (about 100 MB), and the longest text among them in bytes.
-CACHE, WORDS, TRANSITIONS, CACHED_BYTES = 300_000, 150_000, 400_000, 64
+#: Distinct pieces of text, words and transitions that a worker remembers (about 200 MB), and the longest text among them in bytes.
+CACHE, WORDS, TRANSITIONS, CACHED_BYTES = 300_000, 150_000, 500_000, 64
 CHUNK_BYTES = 1 << 20
 _NEVER = 1 << 60
 _START = -1
-#: Not among the byte symbols.
-_END = "\n"
+#: A word's end is a symbol of its own.
+_END = 256
 
 
 def byte_symbols() -> list[str]:
@@ -46,17 +47,24 @@ class Automaton:
     """Encoder and decoder for a byte-level tokenizer file with word ends."""
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
-        self.suffix = model.get("end_of_word_suffix") or ""
+        suffix = model.get("end_of_word_suffix")
+        if not suffix or any(t["content"].split() != [t["content"]] or t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec["added_tokens"]):
+            raise ValueError("a file with word ends, and special strings that stand as they are and hold no white space, is needed")
         vocab: dict[str, int] = model["vocab"]
         self.labels: dict[int, str] = {i: t for t, i in vocab.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self._special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        self._special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         patterns = [p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
-        self._words = regex.compile(patterns[0].replace(r"\s", r"\p{White_Space}"))
-        self._byte = byte_symbols()
+        self._words = regex.compile(patterns[0])
+        #: What the file says of letters beyond ASCII depends on Unicode tables, so its own are asked.
+        library = Tokenizer.from_file(path)
+        self._normalizer, self._splitter = library.normalizer, library.pre_tokenizer
+        self._byte = {s: b for b, s in enumerate(byte_symbols())}
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         #: born[t]: date of the merge that made t, -1 for base symbols; parts[t]: what it joined; dates[(l, r)].
         self.born: dict[int, int] = {}
@@ -64,22 +72,26 @@ class Automaton:
         self.dates: dict[tuple[int, int], int] = {}
         made: dict[str, int] = {}
         for s in self._byte:
-            for t in (s, s + self.suffix):
+            for t in (s, s + suffix):
                 if t in vocab:
                     made[t] = vocab[t]
                     self.born[vocab[t]] = -1
         for k, (left, right) in enumerate(merges):
             self._gadget(k, vocab[left], vocab[right], vocab[left + right])
             made[left + right] = vocab[left + right]
-        #: Every token's symbols, with its id, and all their beginnings, with -1; a word's end is a symbol of its own.
-        self._arcs: dict[str, int] = {}
+        #: A tree of all tokens' symbols: (node << 9 | symbol) -> node, the token that ends at a node, whether it has children.
+        self._tree: dict[int, int] = {}
+        self._token, self._inner = [-1], [False]
+        #: Symbols of each token.
+        self.length: dict[int, int] = {}
         for t, i in made.items():
-            t = t.removesuffix(self.suffix) + _END if self.suffix and t.endswith(self.suffix) else t
-            self._arcs[t] = i
-            for j in range(1, len(t)):
-                self._arcs.setdefault(t[:j], -1)
+            ends = t.endswith(suffix)
+            symbols = [self._byte[c] for c in (t.removesuffix(suffix) if ends else t)] + [_END] * ends
+            self.length[i] = len(symbols)
+            self._grow(symbols, i)
         self._word: dict[str, list[int]] = {}
         self._lost: dict[int, int] = {}
+        self._clear()
         self._piece: dict[bytes, bytes] = _Pieces(self)
         self.dtype = np.dtype("<u2" if max(self.labels) < 1 << 16 else "<u4")
         self._digits = {i: str(i).encode() for i in self.labels}
@@ -90,6 +102,18 @@ class Automaton:
             self.born[product] = k
             self.parts[product] = (left, right)
 
+    def _grow(self, symbols: list[int], token: int) -> None:
+        node = 0
+        for x in symbols:
+            at = node << 9 | x
+            if at not in self._tree:
+                self._tree[at] = len(self._token)
+                self._token.append(-1)
+                self._inner.append(False)
+                self._inner[node] = True
+            node = self._tree[at]
+        self._token[node] = token
+
     def lost(self, state: int, label: int) -> int:
         """The date at which the arc (state, label) was taken away, or _NEVER."""
         known = self._lost.get(state << 32 | label)
@@ -110,51 +134,68 @@ class Automaton:
         self._lost[state << 32 | label] = date
         return date
 
-    def read(self, symbols: str) -> list[int]:
-        """The tokens of one word of byte symbols.
-
-        From each state the longest arc is tried first. As only one path reads the whole word, and only one state
-        stands at each of its positions, a position from which the end can't be reached is never entered again.
-        """
-        if not symbols:
+    def _clear(self) -> None:
+        """Back to the first state alone."""
+        #: (state << 9 | symbol) -> state; for each state the arc read to its end, and the arcs (left from, node) read in part.
+        self.table: dict[int, int] = {}
+        self.read_arc: list[int] = [_START]
+        self._partial: list[tuple[tuple[int, int], ...]] = [()]
+        self._state: dict[tuple, int] = {(_START, ()): 0}
+
+    def _transition(self, state: int, symbol: int) -> int:
+        """Computes where a symbol leads, and enters it into the table."""
+        whole, partial = None, []
+        for left, node in (*self._partial[state], (self.read_arc[state], 0)):
+            node = self._tree.get(node << 9 | symbol)
+            if node is None:
+                continue
+            label = self._token[node]
+            if label >= 0 and (left == _START or self.lost(left, label) == _NEVER):
+                whole = label
+            if self._inner[node]:
+                partial.append((left, node))
+        if whole is None:
+            raise ValueError(f"no token reads symbol {symbol}")
+        key = (whole, tuple(partial))
+        to = self._state.get(key)
+        if to is None:
+            to = self._state[key] = len(self.read_arc)
+            self.read_arc.append(whole)
+            self._partial.append(key[1])
+        self.table[state << 9 | symbol] = to
+        return to
+
+    def read(self, word: bytes) -> list[int]:
+        """The tokens of one word."""
+        if not word:
             return []
-        word = symbols + _END
-        n, find, known, never = len(word), self._arcs.get, self._lost.get, _NEVER
-        dead: set[int] = set()
-        at, state, path, waiting = 0, _START, [], []
-        while at < n:
-            arcs, j = [], at + 1
-            while j <= n and (label := find(word[at:j])) is not None:
-                if label >= 0 and j not in dead:
-                    arcs.append((label, j))
-                j += 1
-            while True:
-                while arcs:
-                    label, j = arcs.pop()
-                    if state == _START:
-                        break
-                    date = known(state << 32 | label)
-                    if (self.lost(state, label) if date is None else date) == never:
-                        break
-                else:  # no arc leads on
-                    dead.add(at)
-                    path.pop()
-                    at, state, arcs = waiting.pop()
-                    arcs = [x for x in arcs if x[1] not in dead]
-                    continue
-                break
-            waiting.append((at, state, arcs))
-            path.append(label)
-            at, state = j, label
-        return path
+        if len(self.table) >= TRANSITIONS:
+            self._clear()
+        state, path, known = 0, [], self.table.get
+        for x in (*word, _END):
+            to = known(state << 9 | x)
+            state = self._transition(state, x) if to is None else to
+            path.append(self.read_arc[state])
+        at, out, length = len(word), [], self.length
+        while at >= 0:
+            out.append(path[at])
+            at -= length[path[at]]
+        out.reverse()
+        return out
+
+    def _split(self, text: str) -> list[bytes]:
+        """The words of a text without special strings."""
+        if text.isascii():
+            return [w.encode() for w in self._words.findall(text.lower())]
+        byte = self._byte
+        return [bytes([byte[c] for c in w]) for w, _ in self._splitter.pre_tokenize_str(self._normalizer.normalize_str(text))]
 
     def _plain(self, text: str) -> list[int]:
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        byte, known, out = self._byte, self._word, []
-        for word in self._words.findall(text):
+        known, out = self._word, []
+        for word in self._split(text):
             ids = known.get(word)
             if ids is None:
-                ids = self.read("".join([byte[b] for b in word.encode()]))
+                ids = self.read(word)
                 if len(known) >= WORDS:
                     known.clear()
                 if len(word) <= CACHED_BYTES:
@@ -164,8 +205,6 @@ class Automaton:
 
     def encode(self, text: str) -> list[int]:
         """The ids of a text without white space of ASCII in it, special strings included."""
-        if not self._special or "<" not in text:
-            return self._plain(text)
         out, at = [], 0
         for m in self._special.finditer(text):
             out += [*self._plain(text[at : m.start()]), self.special[m[0]]]

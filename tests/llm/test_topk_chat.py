@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from cairn.llm import chat_format, topk_search
@@ -59,3 +60,29 @@ def test_format_round_trip(spark):
 def test_chat_query_has_the_control_conversation(spark):
     rows = {r["conv_id"]: r for r in QUERIES["op3_chat"](spark, "/root/testdata/sf0.001").collect()}
     assert rows[-1]["n_turns"] == 2 and rows[-1]["loss_chars"] == len("</s>[INST] ok [/INST]")
+
+
+def test_the_walk_multiplies_less_than_brute_force_and_skips_blocks():
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(0, 1, (3000, 512)) * 16 * np.where(np.arange(3000) % 3, 0.3, 1.0)[:, None]
+    table = pa.table({"tile": pa.array(np.zeros(3000, np.int32)), "id": pa.array(np.arange(3000)), "q": pa.array(np.floor(vectors).tolist(), pa.list_(pa.float64()))})
+    parts = topk_search._segments(500)(table)
+    number = parts.column("block").to_numpy()
+    blocks = [topk_search.Block(parts.take(pa.array(np.flatnonzero(number == b))), 512) for b in range(6)]
+    ask = np.floor(vectors[:30])
+    best, work = topk_search.walk(blocks, np.arange(30), ask, 5)
+    assert work < 0.8 * 30 * 3000 * 512
+    for i in range(30):
+        scores = np.floor(vectors) @ ask[i]
+        scores[i] = -np.inf
+        assert best[i] == [(int(scores[j]), j) for j in np.lexsort((np.arange(3000), -scores))[:5]]
+
+
+def test_search_over_many_tiles(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "TILE_VALUES", 100)
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(0, 0.4, 8).tolist()) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    rows = [(r[0], r[1]) for r in df.collect()]
+    got = topk_search.search(topk_search.build_index(df, block=4), df.filter("vec_id % 5 = 0"), k=5)
+    assert {tuple(r) for r in got.collect()} == brute(rows, range(0, 120, 5), 5)
