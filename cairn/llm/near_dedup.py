@@ -12,27 +12,36 @@ the number of shingles in which the sets differ, so a count beyond what the thre
 
 A bucket is never expanded into all of its pairs: its members are first compared with two representatives, the
 links found are contracted to components, and only members of buckets that still hold several components are
-compared with each other, by their sketches, in blocks of bounded size.
+compared with each other, by their sketches, in blocks of bounded size. Of the candidates found there, each member's
+nearest are confirmed and contracted first, so that a large family becomes one component before the rest is asked for.
+
+Hot buckets are found by a coarse count of all keys and then an exact one of the few that can be large; what their
+members need of them is broadcast, so no bucket, hub or group of copies has to pass through one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cairn.llm.hashing import mix, shingle_sets
+from cairn.llm.native import bounded
 from cairn.llm.runtime import cut, pieces, salted_join, text_bytes
 
 BANDS, ROWS = 32, 5
 SKETCH_WORDS = 8
 PARITY_WORDS = 64
 CHUNK_BYTES = 1 << 20
-BLOCK = 1024
+#: Members of a bucket that are compared in one block, and the candidates of each that are confirmed first.
+BLOCK, NEAREST = 512, 8
+#: A bucket beyond this size doesn't go through a task of its own; and the cells of the coarse count that finds them.
+HOT, CELLS = 512, 1 << 14
 
 
 def _seeds(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -91,7 +100,7 @@ def _signatures(k: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, _, salt = _seeds(bands * rows)
         for batch in batches:
-            ids, (data, offsets) = batch.column(0), text_bytes(batch.column(1))
+            ids, texts, (data, offsets) = batch.column(0), batch.column(2), text_bytes(batch.column(1))
             for i, j in pieces(offsets, CHUNK_BYTES):
                 sets, sizes = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
                 full = np.flatnonzero(sizes)
@@ -103,15 +112,17 @@ def _signatures(k: int, bands: int, rows: int):
                     sketch, starts = odd_sketch(sig), np.cumsum(size) - size
                     one, two = np.add.reduceat(mix(sets + np.uint64(1)), starts), np.add.reduceat(mix(sets ^ np.uint64(0xA5A5A5A5)), starts)
                 if len(empty := np.flatnonzero(sizes == 0)):
-                    yield pa.RecordBatch.from_arrays([ids.slice(i, j - i).take(pa.array(empty)), pa.array(np.zeros(len(empty), np.int64)), *(pa.nulls(len(empty), t) for t in (pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3))], names=_SIGNED)
+                    at = pa.array(empty)
+                    yield pa.RecordBatch.from_arrays([ids.slice(i, j - i).take(at), texts.slice(i, j - i).take(at), pa.array(np.zeros(len(empty), np.int64)), *(pa.nulls(len(empty), t) for t in (pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3))], names=_SIGNED)
                 whole = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32)), pa.array(m.ravel().view(np.int64)))
                 if len(full):
-                    yield pa.RecordBatch.from_arrays([ids.slice(i, j - i).take(pa.array(full)), pa.array(size), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), whole(np.ascontiguousarray(keys)), whole(sketch), whole(parity(sets, size))], names=_SIGNED)
+                    at = pa.array(full)
+                    yield pa.RecordBatch.from_arrays([ids.slice(i, j - i).take(at), texts.slice(i, j - i).take(at), pa.array(size), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), whole(np.ascontiguousarray(keys)), whole(sketch), whole(parity(sets, size))], names=_SIGNED)
 
     return run
 
 
-_SIGNED = ["doc_id", "n_shingles", "set_one", "set_two", "keys", "sketch", "parity"]
+_SIGNED = ["doc_id", "text_key", "n_shingles", "set_one", "set_two", "keys", "sketch", "parity"]
 
 
 def _sets(k: int):
@@ -126,11 +137,15 @@ def _sets(k: int):
     return run
 
 
-def _close(limit: int, percent: int):
-    """Of one block: pairs of different components whose sizes and sketches allow the threshold."""
+def _close(limit: int, percent: int, first: int, last: int):
+    """Of one block: pairs of different components whose sizes and sketches allow the threshold.
+
+    A node's partners are ordered by how little they differ; those from ``first`` up to ``last`` are returned. The order
+    doesn't depend on components, so each pair comes in one of the ranges.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
+        table = table.combine_chunks().sort_by("node")
         node, size, comp, side = (table.column(c).to_numpy() for c in ("node", "n_shingles", "component", "side"))
         bits, whole = (np.array(table.column(c).combine_chunks().flatten(), dtype=np.int64).view(np.uint64).reshape(len(node), -1) for c in ("sketch", "parity"))
         one_sided = bool(len(side)) and side.min() == side.max()
@@ -139,12 +154,13 @@ def _close(limit: int, percent: int):
         right = left if one_sided else np.flatnonzero(side != side.min())
         for i in left:
             r = right[right > i] if one_sided else right
-            r = r[comp[r] != comp[i]]
             r = r[100 * np.minimum(size[r], size[i]) >= percent * np.maximum(size[r], size[i])]
             r = r[np.bitwise_count(bits[r] ^ bits[i]).sum(axis=1) <= limit]
             apart = np.bitwise_count(whole[r] ^ whole[i]).sum(axis=1, dtype=np.int64)
             # sets of sizes x and y at the threshold differ in (x + y)(100 - percent) / (100 + percent) shingles
-            r = r[(100 + percent) * apart <= (100 - percent) * (size[r] + size[i])]
+            may = (100 + percent) * apart <= (100 - percent) * (size[r] + size[i])
+            r = r[may][np.argsort(apart[may], kind="stable")][first:last]
+            r = r[comp[r] != comp[i]]
             if len(r):
                 out.append(np.stack([np.minimum(node[r], node[i]), np.maximum(node[r], node[i])]))
         got = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
@@ -162,7 +178,7 @@ def components(edges: DataFrame) -> DataFrame:
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("component")))
     while True:
-        seen = both.join(labels.select(F.col("node").alias("b"), F.col("component")), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        seen = salted_join(both, labels.select(F.col("node").alias("b"), F.col("component")), ["b"], F.col("a")).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         step = labels.join(seen, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("mid"))
         jump = salted_join(step, labels.select(F.col("node").alias("mid"), F.col("component").alias("up")), ["mid"], F.col("node"), "left")
         done = cut(jump.select("node", "was", F.least("mid", F.coalesce("up", "mid")).alias("component")))
@@ -189,59 +205,117 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, k: int, percent: int) -> Data
     return met.select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb")).alias("all")).filter(100 * F.col("both") >= percent * (F.col("all") - F.col("both"))).select("a", "b")
 
 
+def _buckets(nodes: DataFrame) -> DataFrame:
+    """(node, key, n, low, high): each node's bands that other nodes share, with the size and the ends of the bucket."""
+    rows = nodes.select("node", F.explode("keys").alias("key"))
+    cells = max(CELLS, min(8 * CELLS, nodes.count() >> 7))
+    cell = F.pmod("key", F.lit(cells))
+    counts = cut(rows.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")))  # at most 8 * CELLS rows
+    mean = counts.agg(F.coalesce(F.avg("n"), F.lit(0.0))).first()[0]
+    crowded = counts.filter(F.col("n") > 2 * mean + HOT).select("cell")
+    cold, parts = rows, []
+    if not crowded.isEmpty():
+        large = rows.withColumn("cell", cell).join(F.broadcast(crowded), "cell").groupBy("key")
+        large = cut(large.agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).filter(F.col("n") > HOT))
+        small = bounded(large)
+        parts = [rows.join(small, "key").select("node", "key", "n", "low", "high")]
+        cold = rows.join(small, "key", "left_anti")
+    bucket = Window.partitionBy("key")
+    sized = cold.select("node", "key", F.count(F.lit(1)).over(bucket).alias("n"), F.min("node").over(bucket).alias("low"), F.max("node").over(bucket).alias("high"))
+    return reduce(DataFrame.union, parts, sized.filter("n > 1"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every document with an id.
+    """(doc_id, n_shingles, component_id, kept, text_key, class_id) for every document with an id.
 
     Documents are linked when 100 * |intersection| >= percent * |union| of their k-word shingle sets; the
     component's smallest id is the document that is kept. With the defaults a pair at the threshold shares no
     band with a probability of about 3e-6 at 0.80 and 7e-9 at 0.85.
 
     Null, empty and white-space texts have no shingles, stay alone and are kept. Rows without an id take no part
-    and are not returned. Rows that repeat an id with the same text are answered alike; an id should not
-    name different texts (any one of them then confirms its links). Only the two named
-    columns are read, so other columns may have any names.
+    and are not returned. Rows that repeat an id with the same text are answered alike; where an id names several
+    texts, each of its rows is answered for its own text, which text_key (the text's xxhash64; null: of the empty
+    one) tells apart. class_id tells components apart, also those whose smallest ids are equal; it is null without
+    shingles. Only the two named columns are read, so other columns may have any names.
     """
-    table = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id IS NOT NULL")
-    signed = cut(table.mapInArrow(_signatures(k, bands, rows), "doc_id long, n_shingles long, set_one long, set_two long, keys array<long>, sketch array<long>, parity array<long>"))
+    text = F.col(text_col).cast("string")
+    table = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), text_key(text).alias("text_key")).filter("doc_id IS NOT NULL")
+    signed = cut(table.mapInArrow(_signatures(k, bands, rows), "doc_id long, text_key long, n_shingles long, set_one long, set_two long, keys array<long>, sketch array<long>, parity array<long>"))
+    signed, texts, repeated, mixed = _named(signed, table)
     full = signed.filter("n_shingles > 0")
-    copies = full.groupBy("set_one", "set_two").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    repeats = cut(salted_join(full.select("doc_id", "set_one", "set_two"), copies, ["set_one", "set_two"], F.col("doc_id")).select("doc_id", "node"))
-    nodes = full.join(repeats.filter("doc_id <> node").select("doc_id"), "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    nodes = cut(nodes.select(F.col("doc_id").alias("node"), "n_shingles", "sketch", "parity", "keys"))
-
-    bucket = Window.partitionBy("key")
-    met = nodes.select("node", F.explode("keys").alias("key")).select("node", "key", F.count(F.lit(1)).over(bucket).alias("n"), F.min("node").over(bucket).alias("low"), F.max("node").over(bucket).alias("high"))
-    met = cut(met.filter("n > 1"))
-    stars = met.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("node").alias("b")), F.struct(F.col("high").alias("a"), F.col("node").alias("b")))).alias("p")).select("p.*").filter("a <> b").distinct()
+    copies = full.groupBy("set_one", "set_two").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    repeats = cut(salted_join(full.select("node", "set_one", "set_two"), copies, ["set_one", "set_two"], F.col("node")).select("node", "first").distinct())
+    nodes = full.join(repeats.filter("node <> first").select("node"), "node", "left_anti")
+    nodes = cut((nodes.dropDuplicates(["node"]) if repeated else nodes).select("node", "n_shingles", "sketch", "parity", "keys"))
+
+    met = cut(_buckets(nodes))
+    ends = F.array(F.struct(F.col("low").alias("a"), F.col("node").alias("b")), F.struct(F.col("high").alias("a"), F.col("node").alias("b")))
+    stars = cut(met.select(F.explode(ends).alias("p")).select("p.*").filter("a <> b").distinct())
     limit = most_differing_bits(bands * rows, percent / 100)
-    sketch = nodes.select("node", "n_shingles", "sketch")
-    side = lambda c: sketch.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
     apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    stars = salted_join(stars, side("a"), ["a"], F.col("b")).join(side("b"), "b").filter(apart <= limit).filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
-    texts = table.select(F.col("doc_id").alias("node"), "text").dropDuplicates(["node"]) if _repeats(signed) else table.select(F.col("doc_id").alias("node"), "text")
-    stars = cut(stars)
+    centres = side("a").join(stars.select("a").distinct(), "a", "left_semi")
+    stars = salted_join(stars, centres, ["a"], F.col("b")).join(side("b"), "b").filter(apart <= limit)
+    stars = cut(stars.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b"))
     links = cut(_confirmed(stars, texts, k, percent))
     labels = components(links)
 
-    now = met.select("key", "node", "n").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
-    rest = now.join(split, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "node", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"))
-    rest = rest.join(nodes.drop("keys"), "node").select("key", "i", "j", "node", "component", "side", "n_shingles", "sketch", "parity")
-    more = rest.groupBy("key", "i", "j").applyInArrow(_close(limit, percent), "a long, b long").distinct().join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    found = cut(_confirmed(cut(more), texts, k, percent))
-    if not found.isEmpty():
-        labels = components(links.union(found))
+    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    for first, last in ((0, NEAREST), (NEAREST, None)):
+        more = _candidates(met, nodes, labels, _close(limit, percent, first, last)).join(tried, ["a", "b"], "left_anti")
+        found = cut(_confirmed(cut(more), texts, k, percent))
+        if not found.isEmpty():
+            links = cut(links.union(found))
+            labels = components(links)
 
-    named = signed.select("doc_id", "n_shingles").join(repeats.distinct(), "doc_id", "left").withColumn("node", F.coalesce("node", "doc_id"))
+    named = signed.select("doc_id", "text_key", "n_shingles", "node").join(repeats, "node", "left").withColumn("node", F.coalesce("first", "node")).drop("first")
     # a component's root may be the node of very many copies
-    named = salted_join(named, labels, ["node"], F.col("doc_id"), "left")
-    return named.select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"), (F.col("doc_id") == F.coalesce("component", "node")).alias("kept"))
+    named = salted_join(named, labels, ["node"], F.col("text_key") + F.col("doc_id"), "left").withColumn("component", F.coalesce("component", "node")).withColumn("class_id", F.col("component"))
+    if mixed:  # the roots are not all ids
+        named = cut(named)
+        least = named.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least"))
+        named = salted_join(named, least, ["component"], F.col("text_key") + F.col("doc_id"), "left").withColumn("component", F.col("least"))
+    root = F.coalesce("component", "doc_id")
+    return named.select("doc_id", "n_shingles", root.alias("component_id"), (F.col("doc_id") == root).alias("kept"), "text_key", "class_id")
+
+
+def text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def _repeats(signed: DataFrame) -> bool:
-    """Whether some id stands in several rows."""
-    return not signed.groupBy("doc_id").count().filter("count > 1").isEmpty()
+def _named(signed: DataFrame, table: DataFrame) -> tuple[DataFrame, DataFrame, bool, bool]:
+    """(signed with each text's node, (node, text), whether ids repeat, whether some id names several sets).
+
+    A text's node is its doc_id, or, where an id names several sets, a hash of the id and the set; texts without
+    shingles have none.
+    """
+    repeated = not signed.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    mixed = None
+    if repeated:
+        several = (F.min("set_one") != F.max("set_one")) | (F.min("set_two") != F.max("set_two"))
+        mixed = cut(signed.groupBy("doc_id").agg(several.alias("several")).filter("several").select("doc_id"))
+    if mixed is None or mixed.isEmpty():
+        node = F.when(F.col("n_shingles") > 0, F.col("doc_id"))
+        return signed.withColumn("node", node), table.select(F.col("doc_id").alias("node"), "text") if not repeated else table.select(F.col("doc_id").alias("node"), "text").dropDuplicates(["node"]), repeated, False
+    few = bounded(mixed.withColumn("mixed", F.lit(True)))
+    own = F.xxhash64("doc_id", "set_one", "set_two")
+    signed = cut(signed.join(few, "doc_id", "left").withColumn("node", F.when(F.col("n_shingles") > 0, F.when(F.col("mixed"), own).otherwise(F.col("doc_id")))).drop("mixed"))
+    of = cut(signed.join(few, "doc_id", "left_semi").filter("node IS NOT NULL").select("doc_id", "text_key", F.col("node").alias("own")).distinct())
+    texts = table.join(bounded(of), ["doc_id", "text_key"], "left").select(F.coalesce("own", "doc_id").alias("node"), "text").dropDuplicates(["node"])
+    return signed, texts, True, True
+
+
+def _candidates(met: DataFrame, nodes: DataFrame, labels: DataFrame, close) -> DataFrame:
+    """(a, b): pairs in buckets that hold several components, found by their sketches in blocks of a bounded size."""
+    now = met.select("key", "node", "n").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    split = cut(now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key"))
+    few = bounded(split)
+    rest = now.join(few, "key") if few is not split else salted_join(now, split, ["key"], F.col("node"))
+    rest = rest.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = rest.select("key", "node", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"))
+    rest = rest.join(nodes.drop("keys"), "node").select("key", "i", "j", "node", "component", "side", "n_shingles", "sketch", "parity")
+    return rest.groupBy("key", "i", "j").applyInArrow(close, "a long, b long").distinct()
 
 
 #: near_duplicates() with k=3 and percent=85 in DuckDB.

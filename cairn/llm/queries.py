@@ -7,13 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cairn.llm import chat_format, decontaminate, near_dedup, topk_search
-
-
-def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
-    """Where a public vocabulary file is; the file is the same on every machine."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+from cairn.llm.runtime import tokenizer_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,12 +83,6 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(_table(spark, sf_dir, "documents"))
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_quality": op2_quality,
@@ -106,7 +94,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_near_dedup": op9_near_dedup,
     "op10_pii": op10_pii,
-    "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {

@@ -68,6 +68,32 @@ def test_near_duplicates(spark):
         assert got == classes(texts, k, percent)
 
 
+@pytest.mark.parametrize("nearest", [1, 8])
+def test_hot_buckets_and_families(spark, monkeypatch, nearest):
+    monkeypatch.setattr(near_dedup, "HOT", 4)
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "NEAREST", nearest)
+    rng, texts = np.random.default_rng(6), {}
+    for family in range(4):  # members share most of their words; some lie at the threshold
+        base = [f"f{family}w{i}" for i in range(100)]
+        for i in range(40):
+            words = list(base)
+            for at in rng.integers(0, 100, rng.integers(0, 8)):
+                words[at] = f"n{rng.integers(0, 9999)}"
+            texts[1000 * family + i] = " ".join(words)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r[0]: (r[1], r[2], r[3]) for r in near_dedup.near_duplicates(df).collect()}
+    assert got == classes(texts, 5, 80)
+
+
+def test_an_id_of_several_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(3, b), (7, a), (7, b + " more"), (7, a), (7, None), (9, c), (9, ""), (11, a + " end"), (12, c)]
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    want = [(3, 36, 3, True), (7, 36, 7, True), (7, 37, 3, False), (7, 36, 7, True), (7, 0, 7, True), (9, 36, 9, True), (9, 0, 9, True), (11, 37, 7, False), (12, 36, 9, False)]
+    assert got == sorted(want)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dedup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

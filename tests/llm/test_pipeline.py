@@ -98,3 +98,17 @@ def test_odd_rows(spark, name):
             assert out.filter(F.col("doc_id").isNull()).count() == 2
     none = STAGES[name](spark, odd_rows(spark, empty=True), DATA)
     assert none.count() == 0
+
+
+def test_texts_under_a_repeated_id_are_not_lost(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(1, a, "x"), (1, b, "y"), (1, a, "x"), (2, a + " z", "z"), (3, None, None), (3, "", None), (3, "new text here", None), (None, a, None), (4, b.upper(), None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted(map(tuple, STAGES["near_dedup"](spark, df, DATA).collect()), key=repr)
+    assert (1, a, "x") in got and (1, b, "y") in got and (3, "new text here", None) in got and (None, a, None) in got
+    assert not any(r[0] in (2, 4) for r in got) and sum(r[0] == 1 for r in got) == 2
+
+
+def test_run_leaves_the_last_table_alone(spark):
+    rows = corpus_pipeline.run(spark, DATA)
+    assert rows.columns == ["doc_id", "n_tokens", "ids"] and rows.count() > 0
