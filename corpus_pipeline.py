@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from cairn.llm import bpe_automaton, decontaminate, near_dedup, pii, quality
 from cairn.llm.native import bounded
-from cairn.llm.queries import tokenizer_path
-from cairn.llm.runtime import cut, fresh_path
+from cairn.llm.runtime import cut, fresh_path, remove, tokenizer_path
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,14 +23,22 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity 0.8.
 
-    Rows without an id stay; of rows that repeat an id one stays.
+    Rows without an id stay. A group's rows that share the smallest id are copies too: one of those with the
+    smallest text hash stays. Other texts under a repeated id stay or go by their own groups.
     """
     classes = cut(near_dedup.near_duplicates(docs))
-    gone = cut(classes.filter("NOT kept").select(F.col("doc_id").alias("__id")).distinct())
-    kept = docs.join(bounded(gone), F.col("doc_id") == F.col("__id"), "left_anti")
-    if classes.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return kept
-    return kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id IS NULL"))
+    gone = cut(classes.filter("NOT kept").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct())
+    keyed = docs.withColumn("__of", near_dedup.text_key(F.col("text")))
+    kept = keyed.join(bounded(gone), (F.col("doc_id") == F.col("__id")) & (F.col("__of") == F.col("__key")), "left_anti")
+    several = classes.filter("kept AND class_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id"), "class_id")
+    several = several.agg(F.collect_set("text_key").alias("__keys"), F.min("text_key").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    several = cut(several.filter("__n > 1").select("__id", F.explode("__keys").alias("__key"), "__first"))
+    if several.isEmpty():
+        return kept.drop("__of")
+    few = bounded(several)
+    on = (F.col("doc_id") == F.col("__id")) & (F.col("__of") == F.col("__key"))
+    first = kept.join(few, on).filter(F.col("__of") == F.col("__first")).dropDuplicates(["__id", "__key"])
+    return kept.join(few, on, "left_anti").unionByName(first.select(*kept.columns)).drop("__of")
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,9 +71,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows. A stage's table is deleted when the next one is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = fresh_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
+
+
+QUERIES = {"pipeline": run}
