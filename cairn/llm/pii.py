@@ -3,7 +3,8 @@
 Matches of the fixed shapes (email, ip, card, phone) are the seeds. The two words before a seed are a lexical
 pattern for its kind. Patterns and the identifier-like tokens that follow them form a graph, which Spark scores for
 some rounds: a pattern is worth what share of its distinct fills is held to be of a kind, a token what its best
-patterns are worth. Tokens of patterns that end up with a high confidence are reported as further spans, and are seeds
+patterns are worth. Patterns that could not be sure even if all of their unknown fills were of their best kind are
+worth nothing, so plain words need to be counted only after the others. Tokens of patterns that end up with a high confidence are reported as further spans, and are seeds
 in turn, until no further token is found.
 
 Kinds are numbered 0 email, 1 ip, 2 card, 3 phone. Positions are code points, end exclusive.
@@ -171,6 +172,10 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         placed = cut(tokens.join(few, "left"))
         edges = held.join(few, "left").select("left", "value", "kind").union(placed.select("left", "value", F.lit(-1).alias("kind")))
         edges = cut(edges.groupBy("left", "value").agg(F.max("kind").alias("kind")))
+        patterns = cut(_viable(edges))
+        if patterns.isEmpty():
+            break
+        edges = cut(edges.join(bounded(patterns), "left"))
         fresh = patterns if plain is None else cut(patterns.join(plain, "left", "left_anti"))
         if not fresh.isEmpty():
             words = fresh.join(_plain_fills(table, fresh), "left", "left").fillna(0, ["plain"])
@@ -195,6 +200,12 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return met.select("doc_id", "text_key", "base", F.coalesce("found", F.array().cast(_SPANS)).alias("found"))
 
 
+def _viable(edges: DataFrame) -> DataFrame:
+    """(left) of the patterns that would be sure enough if all of their unknown fills, and no plain word, were of their best kind."""
+    count = edges.groupBy("left").agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col("kind") == k).alias(f"k{k}") for k in range(-1, 4)))
+    return count.filter((F.greatest("k0", "k1", "k2", "k3") + F.col("k-1")) / (F.col("n") + 1) >= MIN_CONFIDENCE).select("left")
+
+
 def _scored(edges: DataFrame, plain: DataFrame) -> DataFrame:
     """(left, kind, seeds, confidence) of all patterns, after some rounds over the graph."""
     sure = edges.filter("kind >= 0").select("value", "kind", F.lit(1.0).alias("held")).distinct()

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.llm import chat_format, decontaminate, native, pii, sharding
+from tests.llm.test_documents import plain_spans
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
@@ -100,6 +101,109 @@ def test_tokens_that_meet_base_spans_are_dropped(spark):
         assert [tuple(s) for s in got] == [s for s in rows[i][1] if not any(s[0] < e and b < s[1] for b, e in rows[i][2])]
 
 
+EDGES = "\"'()[]{}<>,;:!?.*#$%&|"
+
+
+def plain_tokens(text, base):
+    """(start, end, value, context) of identifier-like tokens that meet no span, by plain regular expressions."""
+    part = r"[(]?[0-9][0-9().-]*+"
+    clash = lambda t, spans: any(a < t[1] and t[0] < b for a, b in spans)
+
+    def found(pattern):
+        out = []
+        for m in re.finditer(pattern, text, re.A):
+            left = m[0].lstrip(EDGES)
+            value = left.rstrip(EDGES)
+            start = m.start() + len(m[0]) - len(left)
+            out.append((start, start + len(value), value))
+        return out
+
+    numbers = [t for t in found(rf"(?<!\S){part}(?:\x20{part}(?=[\s,;:!?]|\Z)){{1,5}}+") if not clash(t, base)]
+    words = [t for t in found(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+") if not clash(t, base + [t[:2] for t in numbers])]
+    return [(*t, plain_context(text, t[0])) for t in numbers + words if len(t[2]) >= 4 and plain_context(text, t[0])]
+
+
+def plain_context(text, start):
+    m = re.search(r"\s(\S+\s+\S+)\s+\Z", (" " + text[:start])[-80:], re.A)
+    return re.sub(r"\s+", " ", m[1].lower(), flags=re.A) if m else ""
+
+
+def plain_found(texts):
+    """The spans that contexts add, by the rules of the module's docstring, one after another."""
+    base = {i: plain_spans(t) for i, t in texts.items()}
+    seeds = {(c, texts[i][a:b], k) for i, spans in base.items() for a, k, b in spans if (c := plain_context(texts[i], a))}
+    tokens = [(i, *t) for i, text in texts.items() for t in plain_tokens(text, [(a, b) for a, _, b in base[i]])]
+    follow = {}
+    for text in texts.values():
+        w = re.split(r"\s+", text.lower(), flags=re.A)
+        for a, b, c in zip(w, w[1:], w[2:]):
+            if not re.search("[0-9@]", c):
+                follow.setdefault(f"{a} {b}", set()).add(c)
+    known, good = {}, {}
+    while True:
+        held = seeds | {(c, v, known[v]) for _, _, _, v, c in tokens if v in known}
+        counts = {}
+        for c, _, k in held:
+            counts[c, k] = counts.get((c, k), 0) + 1
+        patterns = {c for (c, _), n in counts.items() if n >= 3}
+        edges = {}
+        for c, v, k in held | {(c, v, -1) for _, _, _, v, c in tokens}:
+            if c in patterns:
+                edges.setdefault(c, {})[v] = max(k, edges.get(c, {}).get(v, -1))
+        best = lambda e: max(sum(k == x for k in e.values()) for x in range(4)) + sum(k < 0 for k in e.values())
+        edges = {c: e for c, e in edges.items() if best(e) / (len(e) + 1) >= 0.8}
+        sure = {(v, k): 1.0 for e in edges.values() for v, k in e.items() if k >= 0}
+        belief = dict(sure)
+        score = {}
+        for _ in range(3):
+            score = {}
+            for c, e in edges.items():
+                for k in range(4):
+                    worth = [belief[v, k] for v in e if (v, k) in belief]
+                    if worth:
+                        score[c, k] = (sum(worth) / (len(e) + len(follow.get(c, ())) + 1), sum(w == 1 for w in worth))
+            guess = {}
+            for c, e in edges.items():
+                for v, old in e.items():
+                    for k in range(4):
+                        if old < 0 and score.get((c, k), (0, 0))[1] >= 3:
+                            guess[v, k] = max(guess.get((v, k), 0), score[c, k][0])
+            belief = sure | {x: h for x, h in guess.items() if h < 1 and x not in sure}
+        accepted = {}
+        for (c, k), (confidence, n) in score.items():
+            if confidence >= 0.8 and n >= 3:
+                accepted.setdefault(c, []).append((confidence, -k))
+        good = {c: max(x) for c, x in accepted.items()} | good
+        fills = {}
+        for _, _, _, v, c in tokens:
+            if c in good:
+                fills.setdefault(v, []).append(good[c])
+        new = {v: -max(x)[1] for v, x in fills.items() if v not in known}
+        if not new:
+            break
+        known |= new
+    return {i: sorted({(a, -good[c][1], b) for j, a, b, _, c in tokens if j == i and c in good}) for i in texts}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_bootstrapping_matches_a_plain_one(spark, seed):
+    rng = random.Random(seed)
+    sure = [lambda: f"u{rng.randint(0, 40)}@m{rng.randint(0, 3)}.com", lambda: f"10.0.{rng.randint(0, 9)}.{rng.randint(0, 9)}", lambda: f"+49 30 12{rng.randint(1000, 1999)}"]
+    odd = [lambda: f"id_{rng.randint(0, 60)}x", lambda: f"555 12{rng.randint(10, 40)}", lambda: f"({rng.randint(1000, 1030)})", lambda: "word"]
+    contexts = {c: rng.choice(sure) for c in ("mail to", "Reach me:", "host at", "call\non", "her alias", "runs  under")}
+    texts = {}
+    for i in range(250):
+        words = []
+        for _ in range(rng.randint(1, 5)):
+            context = rng.choice(list(contexts))
+            words.append(f"{context} {contexts[context]() if rng.random() < (0.9 if context != 'her alias' else 0.2) else rng.choice(odd[:2] if rng.random() < 0.98 else odd)()}")
+        texts[i] = rng.choice([" and ", ", then ", "\n"]).join(words) + rng.choice(["", " end", "."])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = plain_found(texts)
+    got = {r["doc_id"]: sorted((s["start"], s["kind"], s["end"]) for s in r["found"]) for r in pii.personal_data(df).collect()}
+    assert got == want and sum(map(len, want.values())) > 20
+
+
 def test_a_conversation_of_very_many_turns(spark):
     n = 60_000
     rows = spark.range(n).selectExpr("1L AS conv_id", "id AS turn", "IF(id % 3 = 0, 'user', 'assistant') AS role", "concat('a <s> [INST] ', id) AS text")
