@@ -10,8 +10,8 @@ then; a copy has lost what its original had lost at its birth.
 That automaton reads tokens. To read bytes it is made deterministic by the subset construction: a state of the
 byte automaton holds the arc by which the bytes so far were read to their end (a text has one path, so has each of its
 beginnings), and all arcs that have been read in part, each with the state it leaves from. Its transition table is
-filled when a transition is first met, and then drives all words: one look-up a byte. The arcs that end at
-a word's last position, where that one starts, and so on backwards, are the word's tokens.
+filled when a transition is first met, and then drives all words: one look-up a byte, for many words at a time. The
+arcs that end at a word's last position, where that one starts, and so on backwards, are the word's tokens.
 """
 
 from __future__ import annotations
@@ -27,13 +27,15 @@ from pyspark.sql import functions as F
 
 from cairn.llm.runtime import pieces, text_bytes
 
-#: Distinct pieces of text, words and transitions that a worker remembers (about 200 MB), and the longest text among them in bytes.
-CACHE, WORDS, TRANSITIONS, CACHED_BYTES = 300_000, 150_000, 500_000, 64
+#: Distinct pieces of text, words and transitions that a worker remembers (about 250 MB), and the longest text among them in bytes.
+CACHE, WORDS, TRANSITIONS, CACHED_BYTES = 500_000, 300_000, 500_000, 64
 CHUNK_BYTES = 1 << 20
 _NEVER = 1 << 60
 _START = -1
 #: A word's end is a symbol of its own.
 _END = 256
+#: Stands between pieces that are split together; a piece with it in it is split alone.
+_BETWEEN = "\uf8ff"
 
 
 def byte_symbols() -> list[str]:
@@ -43,6 +45,10 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in set(shown) else chr(next(rest)) for b in range(256)]
 
 
+#: Marks that may follow the letters of a piece, and are then one word. What special strings and contractions hold is not among them.
+_MARKS = b".,!?;:*#$%&"
+
+
 class Automaton:
     """Encoder and decoder for a byte-level tokenizer file with word ends."""
 
@@ -61,10 +67,14 @@ class Automaton:
         self._special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         patterns = [p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
         self._words = regex.compile(patterns[0])
+        marks = _MARKS.decode()
+        #: Whether letters and marks after them are two words; without special strings nor contractions, that needs no pattern.
+        self._simple = self._words.findall("abc" + marks) == ["abc", marks] and not any(set(t) & set(marks) for t in self.special)
         #: What the file says of letters beyond ASCII depends on Unicode tables, so its own are asked.
         library = Tokenizer.from_file(path)
         self._normalizer, self._splitter = library.normalizer, library.pre_tokenizer
         self._byte = {s: b for b, s in enumerate(byte_symbols())}
+        self._bytes = {ord(s): b for s, b in self._byte.items()}
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         #: born[t]: date of the merge that made t, -1 for base symbols; parts[t]: what it joined; dates[(l, r)].
         self.born: dict[int, int] = {}
@@ -83,13 +93,13 @@ class Automaton:
         self._tree: dict[int, int] = {}
         self._token, self._inner = [-1], [False]
         #: Symbols of each token.
-        self.length: dict[int, int] = {}
+        self.length = np.zeros(max(self.labels) + 1, np.int32)
         for t, i in made.items():
             ends = t.endswith(suffix)
             symbols = [self._byte[c] for c in (t.removesuffix(suffix) if ends else t)] + [_END] * ends
             self.length[i] = len(symbols)
             self._grow(symbols, i)
-        self._word: dict[str, list[int]] = {}
+        self._word: dict[bytes, bytes] = {}
         self._lost: dict[int, int] = {}
         self._clear()
         self._piece: dict[bytes, bytes] = _Pieces(self)
@@ -136,16 +146,17 @@ class Automaton:
 
     def _clear(self) -> None:
         """Back to the first state alone."""
-        #: (state << 9 | symbol) -> state; for each state the arc read to its end, and the arcs (left from, node) read in part.
-        self.table: dict[int, int] = {}
-        self.read_arc: list[int] = [_START]
+        self.table = _Table(TRANSITIONS)
+        #: For each state the arc read to its end, and the arcs (left from, node) read in part.
+        self.read_arc = np.full(TRANSITIONS + 2, _START, np.int32)
         self._partial: list[tuple[tuple[int, int], ...]] = [()]
         self._state: dict[tuple, int] = {(_START, ()): 0}
 
-    def _transition(self, state: int, symbol: int) -> int:
-        """Computes where a symbol leads, and enters it into the table."""
+    def _transition(self, key: int) -> int:
+        """Computes where a state goes with a symbol, and enters it into the table; key is state << 9 | symbol."""
+        state, symbol = key >> 9, key & 511
         whole, partial = None, []
-        for left, node in (*self._partial[state], (self.read_arc[state], 0)):
+        for left, node in (*self._partial[state], (int(self.read_arc[state]), 0)):
             node = self._tree.get(node << 9 | symbol)
             if node is None:
                 continue
@@ -156,83 +167,221 @@ class Automaton:
                 partial.append((left, node))
         if whole is None:
             raise ValueError(f"no token reads symbol {symbol}")
-        key = (whole, tuple(partial))
-        to = self._state.get(key)
+        name = (whole, tuple(partial))
+        to = self._state.get(name)
         if to is None:
-            to = self._state[key] = len(self.read_arc)
-            self.read_arc.append(whole)
-            self._partial.append(key[1])
-        self.table[state << 9 | symbol] = to
+            to = self._state[name] = len(self._partial)
+            self.read_arc[to] = whole
+            self._partial.append(name[1])
+        self.table.enter(key, to)
         return to
 
-    def read(self, word: bytes) -> list[int]:
-        """The tokens of one word."""
-        if not word:
-            return []
-        if len(self.table) >= TRANSITIONS:
+    def read(self, words: list[bytes]) -> list[bytes]:
+        """The tokens of each word, as bytes of ids. All words move on by a symbol at a time."""
+        out: list[bytes] = [b""] * len(words)
+        order = sorted((i for i, w in enumerate(words) if w), key=lambda i: -len(words[i]))
+        while order:  # longest first, in runs whose matrices stay small
+            take = max(1, min(len(order), (1 << 22) // (len(words[order[0]]) + 1)))
+            for i, ids in zip(order[:take], self._read([words[i] for i in order[:take]])):
+                out[i] = ids
+            order = order[take:]
+        return out
+
+    def _read(self, words: list[bytes]) -> list[bytes]:
+        sizes = np.array(list(map(len, words)))
+        row = np.repeat(np.arange(len(words)), sizes)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        symbols = np.full((sizes[0] + 1, len(words)), _END, np.int64)
+        symbols[at, row] = np.frombuffer(b"".join(words), np.uint8)
+        if self.table.room <= 0:
             self._clear()
-        state, path, known = 0, [], self.table.get
-        for x in (*word, _END):
-            to = known(state << 9 | x)
-            state = self._transition(state, x) if to is None else to
-            path.append(self.read_arc[state])
-        at, out, length = len(word), [], self.length
-        while at >= 0:
-            out.append(path[at])
-            at -= length[path[at]]
-        out.reverse()
+        arcs, state = np.empty(symbols.shape, np.int32), np.zeros(len(words), np.int64)
+        still = np.searchsorted(-sizes, -np.arange(sizes[0] + 1), "right")  # words that have a symbol at a position
+        i = 0
+        while i < len(symbols):
+            n = still[i]
+            keys = state[:n] << 9 | symbols[i, :n]
+            to = self.table.find(keys)
+            if len(new := np.unique(keys[to < 0])):
+                if len(new) > self.table.room:
+                    return self._halves(words)
+                for key in new.tolist():
+                    self._transition(key)
+                to = self.table.find(keys)
+            state[:n] = to
+            arcs[i, :n] = self.read_arc[to]
+            i += 1
+        return self._backwards(arcs, sizes)
+
+    def _halves(self, words: list[bytes]) -> list[bytes]:
+        """Words for which the table has no room left, from a table that is empty again."""
+        self._clear()
+        if len(words) == 1:
+            return [self._alone(words[0])]
+        half = len(words) // 2
+        return self._read(words[:half]) + self._read(words[half:])
+
+    def _alone(self, word: bytes) -> bytes:
+        """One word that meets more transitions than the table holds: it is read with none of them kept."""
+        now, path = (_START, ()), []
+        for symbol in (*word, _END):
+            self._partial[0], self.read_arc[0] = now[1], now[0]
+            self._state.clear()
+            self.table = _Table(1)
+            self._transition(symbol)
+            now = (int(self.read_arc[len(self._partial) - 1]), self._partial.pop())
+            path.append(now[0])
+        self._clear()
+        return self._backwards(np.array(path, np.int32)[:, None], np.array([len(word)]))[0]
+
+    def _backwards(self, arcs: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        """Each word's tokens, from arcs[position, word] and the words' lengths."""
+        at, left, found = sizes.copy(), np.arange(len(sizes)), []
+        while len(left):
+            token = arcs[at[left], left]
+            found.append((left, token))
+            at[left] -= self.length[token]
+            left = left[at[left] >= 0]
+        count = np.bincount(np.concatenate([w for w, _ in found]), minlength=len(sizes))
+        ends = np.cumsum(count)
+        flat = np.empty(int(ends[-1]), self.dtype)
+        for j, (word, token) in enumerate(found):
+            flat[ends[word] - 1 - j] = token
+        raw, width = flat.tobytes(), self.dtype.itemsize
+        ends = (ends * width).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _split(self, texts: list[str]) -> list[list[bytes]]:
+        """The words of texts without special strings, and without white space of ASCII."""
+        plain = [i for i, t in enumerate(texts) if t.isascii()]
+        other = [i for i, t in enumerate(texts) if not t.isascii() and _BETWEEN not in t]
+        out: list[list[bytes]] = [[]] * len(texts)
+        if plain:
+            self._deal(out, plain, self._ascii(f" {_BETWEEN} ".join([texts[i] for i in plain])))
+        if other:
+            self._deal(out, other, self._library(f" {_BETWEEN} ".join([texts[i] for i in other])))
+        for i in set(range(len(texts))).difference(plain, other):
+            out[i] = self._library(texts[i])
         return out
 
-    def _split(self, text: str) -> list[bytes]:
-        """The words of a text without special strings."""
-        if text.isascii():
-            return [w.encode() for w in self._words.findall(text.lower())]
-        byte = self._byte
-        return [bytes([byte[c] for c in w]) for w, _ in self._splitter.pre_tokenize_str(self._normalizer.normalize_str(text))]
-
-    def _plain(self, text: str) -> list[int]:
-        known, out = self._word, []
-        for word in self._split(text):
-            ids = known.get(word)
-            if ids is None:
-                ids = self.read(word)
-                if len(known) >= WORDS:
-                    known.clear()
-                if len(word) <= CACHED_BYTES:
-                    known[word] = ids
-            out += ids
+    def _ascii(self, text: str) -> list[bytes]:
+        return [w.encode() for w in self._words.findall(text.lower())]
+
+    def _library(self, text: str) -> list[bytes]:
+        words = [w for w, _ in self._splitter.pre_tokenize_str(self._normalizer.normalize_str(text))]
+        return "\n".join(words).translate(self._bytes).encode("latin-1").split(b"\n") if words else []
+
+    @staticmethod
+    def _deal(out: list[list[bytes]], places: list[int], words: list[bytes]) -> None:
+        """Words between separators -> the lists at the places."""
+        mark, at = _BETWEEN.encode(), 0
+        for i in places[:-1]:
+            end = words.index(mark, at)
+            out[i] = words[at:end]
+            at = end + 1
+        out[places[-1]] = words[at:]
+
+    def _known(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """A dictionary that has the ids of the words."""
+        new = [w for w in words if w not in self._word]
+        if len(self._word) + len(new) > WORDS:
+            self._word = {}
+            new = list(words)
+        self._word.update(zip(new, self.read(new)))
+        return self._word
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts without special strings."""
+        split = self._split(texts)
+        known = self._known({w for words in split for w in words})
+        out = [b"".join([known[w] for w in words]) for words in split]
+        for w in [w for words in split for w in words if len(w) > CACHED_BYTES]:
+            known.pop(w, None)
         return out
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> bytes:
         """The ids of a text without white space of ASCII in it, special strings included."""
-        out, at = [], 0
+        parts, at, special = [], 0, []
         for m in self._special.finditer(text):
-            out += [*self._plain(text[at : m.start()]), self.special[m[0]]]
+            parts.append(text[at : m.start()])
+            special.append(np.array([self.special[m[0]]], self.dtype).tobytes())
             at = m.end()
-        return out + self._plain(text[at:])
+        ids = self._plain([*parts, text[at:]])
+        return b"".join(a + b for a, b in zip(ids, [*special, b""]))
+
+    def learn(self, pieces: list[bytes]) -> None:
+        """Encodes the pieces that are not known yet, all at once."""
+        known = self._piece
+        new = [p for p in set(pieces) if p not in known and len(p) <= CACHED_BYTES]
+        if len(known) + len(new) > CACHE:
+            known.clear()
+            new = [p for p in set(pieces) if len(p) <= CACHED_BYTES]
+        if self._simple:
+            stems = [p.rstrip(_MARKS) for p in new]
+            simple = [(p, t.lower(), p[len(t) :]) for p, t in zip(new, stems) if t.isalpha()]
+            new = [p for p, t in zip(new, stems) if not t.isalpha()]
+            word = self._known({t for _, t, _ in simple} | {m for _, _, m in simple})
+            known.update((p, word[t] + word[m]) for p, t, m in simple)
+        texts = [p.decode() for p in new]
+        plain = [i for i, t in enumerate(texts) if not self._special.search(t)]
+        known.update(zip([new[i] for i in plain], self._plain([texts[i] for i in plain])))
+
+    def encode_all(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of whole texts in UTF-8. ASCII white space ends words, so pieces between it stand alone."""
+        split = [t.split() for t in texts]
+        self.learn([p for ps in split for p in ps])
+        return [np.frombuffer(b"".join(map(self._piece.__getitem__, ps)), self.dtype) for ps in split]
 
     def encode_bytes(self, text: bytes) -> np.ndarray:
-        """The ids of a whole text in UTF-8. ASCII white space ends words, so pieces between it stand alone."""
-        return np.frombuffer(b"".join(map(self._piece.__getitem__, text.split())), self.dtype)
+        """The ids of one whole text in UTF-8."""
+        return self.encode_all([text])[0]
 
     def decode(self, ids) -> str:
         """The labels of the arcs taken; as the file names no decoder, a space stands between them."""
         return " ".join(map(self.labels.__getitem__, ids))
 
 
+class _Table:
+    """int -> int, open addressing over arrays, so that many keys are looked up at once."""
+
+    def __init__(self, most: int):
+        self.room, self.bits = most, max(4, (2 * most).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+
+    def _slot(self, keys):
+        return (keys * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> (64 - self.bits)
+
+    def enter(self, key: int, value: int) -> None:
+        slot, mask = self._slot(key), (1 << self.bits) - 1
+        while self.keys[slot] >= 0:
+            slot = slot + 1 & mask
+        self.keys[slot], self.values[slot] = key, value
+        self.room -= 1
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The values, -1 where there is none."""
+        mask = (1 << self.bits) - 1
+        slot = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+        there = self.keys[slot]
+        out = np.where(there == keys, self.values[slot], np.int32(-1))
+        left = np.flatnonzero((there != keys) & (there >= 0))
+        while len(left):
+            slot[left] = slot[left] + 1 & mask
+            there = self.keys[slot[left]]
+            hit = there == keys[left]
+            out[left[hit]] = self.values[slot[left[hit]]]
+            left = left[~hit & (there >= 0)]
+        return out
+
+
 class _Pieces(dict):
-    """piece -> its ids as bytes, computed when first met, with bounded memory."""
+    """piece -> its ids as bytes; one that learn() left out is encoded when it is met."""
 
     def __init__(self, automaton: Automaton):
         self.automaton = automaton
 
     def __missing__(self, piece: bytes) -> bytes:
-        out = np.array(self.automaton.encode(piece.decode()), self.automaton.dtype).tobytes()
-        if len(piece) <= CACHED_BYTES:
-            if len(self) >= CACHE:
-                self.clear()
-            self[piece] = out
-        return out
+        return self.automaton.encode(piece.decode())
 
 
 _OPEN: dict[str, Automaton] = {}
@@ -265,7 +414,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     """(doc_id, ids array<int>), a row for each row of docs; null and empty texts, and white space, have no ids."""
 
     def make(a: Automaton, texts: list[bytes]) -> list[pa.Array]:
-        ids = [a.encode_bytes(t) for t in texts]
+        ids = a.encode_all(texts)
         ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
         return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32)))]
 
@@ -291,8 +440,8 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     def make(a: Automaton, texts: list[bytes]) -> list[pa.Array]:
         n, ids_sha, text_sha = [], [], []
-        for t in texts:
-            ids = a.encode_bytes(t).tolist()
+        for ids in a.encode_all(texts):
+            ids = ids.tolist()
             n.append(len(ids))
             ids_sha.append(sha256(b" ".join(map(a._digits.__getitem__, ids))).hexdigest())
             text_sha.append(sha256(a.decode(ids).encode()).hexdigest())
