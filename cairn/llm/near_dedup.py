@@ -141,7 +141,8 @@ def _close(limit: int, percent: int, first: int, last: int):
     """Of one block: pairs of different components whose sizes and sketches allow the threshold.
 
     A node's partners are ordered by how little they differ; those from ``first`` up to ``last`` are returned. The order
-    doesn't depend on components, so each pair comes in one of the ranges.
+    doesn't depend on components, so each pair comes in one of the ranges. A row without a pair says that
+    partners in other components are left beyond the range.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -149,7 +150,7 @@ def _close(limit: int, percent: int, first: int, last: int):
         node, size, comp, side = (table.column(c).to_numpy() for c in ("node", "n_shingles", "component", "side"))
         bits, whole = (np.array(table.column(c).combine_chunks().flatten(), dtype=np.int64).view(np.uint64).reshape(len(node), -1) for c in ("sketch", "parity"))
         one_sided = bool(len(side)) and side.min() == side.max()
-        out = []
+        out, rest = [], False
         left = np.arange(len(node)) if one_sided else np.flatnonzero(side == side.min())
         right = left if one_sided else np.flatnonzero(side != side.min())
         for i in left:
@@ -159,12 +160,16 @@ def _close(limit: int, percent: int, first: int, last: int):
             apart = np.bitwise_count(whole[r] ^ whole[i]).sum(axis=1, dtype=np.int64)
             # sets of sizes x and y at the threshold differ in (x + y)(100 - percent) / (100 + percent) shingles
             may = (100 + percent) * apart <= (100 - percent) * (size[r] + size[i])
-            r = r[may][np.argsort(apart[may], kind="stable")][first:last]
+            r = r[may][np.argsort(apart[may], kind="stable")]
+            rest = rest or bool((comp[r[len(r[:last]) :]] != comp[i]).any())
+            r = r[first:last]
             r = r[comp[r] != comp[i]]
             if len(r):
                 out.append(np.stack([np.minimum(node[r], node[i]), np.maximum(node[r], node[i])]))
         got = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-        return pa.table({"a": pa.array(got[0], pa.int64()), "b": pa.array(got[1], pa.int64())})
+        block = {c: pa.array([table.column(c)[0].as_py()] if rest else [], pa.int64()) for c in ("key", "i", "j")}
+        pairs = pa.table({"a": pa.array(got[0], pa.int64()), "b": pa.array(got[1], pa.int64())} | {c: pa.nulls(got.shape[1], pa.int64()) for c in block})
+        return pa.concat_tables([pairs, pa.table({c: pa.nulls(int(rest), pa.int64()) for c in "ab"} | block)])
 
     return run
 
@@ -175,16 +180,18 @@ def components(edges: DataFrame) -> DataFrame:
     Labels pass along the edges and then along themselves (pointer jumping) until none changes; each round is
     cut from its lineage. Nothing but a count reaches the driver.
     """
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("component")))
+    turned = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    itself = edges.select(F.explode(F.array("a", "b")).alias("a")).select("a", F.col("a").alias("b"))
+    both = cut(edges.select("a", "b").union(turned).union(itself).distinct())
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")))
     while True:
-        seen = salted_join(both, labels.select(F.col("node").alias("b"), F.col("component")), ["b"], F.col("a")).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        step = labels.join(seen, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("mid"))
+        of = labels.select(F.col("node").alias("b"), "component")
+        own = F.max(F.when(F.col("a") == F.col("b"), F.col("component"))).alias("was")
+        step = salted_join(both, of, ["b"], F.col("a")).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("mid"), own)
         jump = salted_join(step, labels.select(F.col("node").alias("mid"), F.col("component").alias("up")), ["mid"], F.col("node"), "left")
         done = cut(jump.select("node", "was", F.least("mid", F.coalesce("up", "mid")).alias("component")))
-        moved = done.filter(F.col("was") != F.col("component")).limit(1).count()
         labels = done.select("node", "component")
-        if not moved:
+        if done.filter(F.col("was") != F.col("component")).isEmpty():
             return labels
 
 
@@ -260,13 +267,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = cut(_confirmed(stars, texts, k, percent))
     labels = components(links)
 
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    tried, blocks = cut(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), None
     for first, last in ((0, NEAREST), (NEAREST, None)):
-        more = _candidates(met, nodes, labels, _close(limit, percent, first, last)).join(tried, ["a", "b"], "left_anti")
+        near = _candidates(met, nodes, labels, blocks, _close(limit, percent, first, last))
+        if near is None:
+            break
+        more = near.filter("a IS NOT NULL").select("a", "b").distinct().join(bounded(tried), ["a", "b"], "left_anti")
         found = cut(_confirmed(cut(more), texts, k, percent))
         if not found.isEmpty():
             links = cut(links.union(found))
             labels = components(links)
+        blocks = near.filter("a IS NULL").select("key", "i", "j")
 
     named = signed.select("doc_id", "text_key", "n_shingles", "node").join(repeats, "node", "left").withColumn("node", F.coalesce("first", "node")).drop("first")
     # a component's root may be the node of very many copies
@@ -305,17 +316,24 @@ def _named(signed: DataFrame, table: DataFrame) -> tuple[DataFrame, DataFrame, b
     return signed, texts, True, True
 
 
-def _candidates(met: DataFrame, nodes: DataFrame, labels: DataFrame, close) -> DataFrame:
-    """(a, b): pairs in buckets that hold several components, found by their sketches in blocks of a bounded size."""
-    now = met.select("key", "node", "n").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+def _candidates(met: DataFrame, nodes: DataFrame, labels: DataFrame, blocks: DataFrame | None, close) -> DataFrame | None:
+    """What close() returns of the blocks, of those given or of all, of buckets that hold several components; None if there are none."""
+    if blocks is not None and blocks.isEmpty():
+        return None
+    now = met if blocks is None else met.join(bounded(cut(blocks.select("key").distinct())), "key", "left_semi")
+    now = now.select("key", "node", "n").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = cut(now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key"))
+    if split.isEmpty():
+        return None
     few = bounded(split)
     rest = now.join(few, "key") if few is not split else salted_join(now, split, ["key"], F.col("node"))
     rest = rest.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select("key", "node", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"))
+    if blocks is not None:
+        rest = rest.join(bounded(blocks), ["key", "i", "j"], "left_semi")
     rest = rest.join(nodes.drop("keys"), "node").select("key", "i", "j", "node", "component", "side", "n_shingles", "sketch", "parity")
-    return rest.groupBy("key", "i", "j").applyInArrow(close, "a long, b long").distinct()
+    return cut(rest.groupBy("key", "i", "j").applyInArrow(close, "a long, b long, key long, i long, j long"))
 
 
 #: near_duplicates() with k=3 and percent=85 in DuckDB.
