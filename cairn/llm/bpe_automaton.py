@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from cairn.llm.runtime import pieces, text_bytes
 
-#: Distinct pieces of text, words and transitions that a worker remembers (about 250 MB), and the longest text among them in bytes.
-CACHE, WORDS, TRANSITIONS, CACHED_BYTES = 500_000, 300_000, 500_000, 64
+#: Distinct pieces of text, words and transitions that a worker remembers during a task (about 250 MB), and the longest text among them in bytes.
+CACHE, WORDS, TRANSITIONS, CACHED_BYTES = 400_000, 250_000, 400_000, 64
 CHUNK_BYTES = 1 << 20
 _NEVER = 1 << 60
 _START = -1
@@ -326,6 +326,11 @@ class Automaton:
         plain = [i for i, t in enumerate(texts) if not self._special.search(t)]
         known.update(zip([new[i] for i in plain], self._plain([texts[i] for i in plain])))
 
+    def forget(self) -> None:
+        """Drops what is known of pieces and words at a task's end, as the worker may go on with other operators; the automaton stays."""
+        self._piece.clear()
+        self._word = {}
+
     def encode_all(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of whole texts in UTF-8. ASCII white space ends words, so pieces between it stand alone."""
         split = [t.split() for t in texts]
@@ -402,6 +407,7 @@ def _each(path: str, make, names: list[str]):
             for i, j in pieces(offsets, CHUNK_BYTES):
                 texts = [data[offsets[r] : offsets[r + 1]].tobytes() for r in range(i, j)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *make(a, texts)], names=names)
+        a.forget()
 
     return run
 

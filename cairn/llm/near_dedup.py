@@ -137,12 +137,11 @@ def _sets(k: int):
     return run
 
 
-def _close(limit: int, percent: int, first: int, last: int):
+def _close(limit: int, percent: int, most: int | None):
     """Of one block: pairs of different components whose sizes and sketches allow the threshold.
 
-    A node's partners are ordered by how little they differ; those from ``first`` up to ``last`` are returned. The order
-    doesn't depend on components, so each pair comes in one of the ranges. A row without a pair says that
-    partners in other components are left beyond the range.
+    Of a node's partners, ordered by how little they differ, the first ``most`` are returned. A row without a pair says
+    that partners in other components are left.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -155,21 +154,20 @@ def _close(limit: int, percent: int, first: int, last: int):
         right = left if one_sided else np.flatnonzero(side != side.min())
         for i in left:
             r = right[right > i] if one_sided else right
+            r = r[comp[r] != comp[i]]
             r = r[100 * np.minimum(size[r], size[i]) >= percent * np.maximum(size[r], size[i])]
             r = r[np.bitwise_count(bits[r] ^ bits[i]).sum(axis=1) <= limit]
             apart = np.bitwise_count(whole[r] ^ whole[i]).sum(axis=1, dtype=np.int64)
             # sets of sizes x and y at the threshold differ in (x + y)(100 - percent) / (100 + percent) shingles
             may = (100 + percent) * apart <= (100 - percent) * (size[r] + size[i])
             r = r[may][np.argsort(apart[may], kind="stable")]
-            rest = rest or bool((comp[r[len(r[:last]) :]] != comp[i]).any())
-            r = r[first:last]
-            r = r[comp[r] != comp[i]]
-            if len(r):
+            rest = rest or len(r) > len(r[:most])
+            if len(r := r[:most]):
                 out.append(np.stack([np.minimum(node[r], node[i]), np.maximum(node[r], node[i])]))
         got = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-        block = {c: pa.array([table.column(c)[0].as_py()] if rest else [], pa.int64()) for c in ("key", "i", "j")}
-        pairs = pa.table({"a": pa.array(got[0], pa.int64()), "b": pa.array(got[1], pa.int64())} | {c: pa.nulls(got.shape[1], pa.int64()) for c in block})
-        return pa.concat_tables([pairs, pa.table({c: pa.nulls(int(rest), pa.int64()) for c in "ab"} | block)])
+        more, none = [table.column("key")[0].as_py()] * rest, [None] * rest
+        a, b = (pa.array([*side, *none], pa.int64()) for side in got.tolist())
+        return pa.table({"a": a, "b": b, "key": pa.array([None] * got.shape[1] + more, pa.int64())})
 
     return run
 
@@ -202,8 +200,8 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, k: int, percent: int) -> Data
     partners need.
     """
     hub = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 64).cast("int").alias("deal"))
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = cut(nodes.join(wanted, "node", "left_semi").mapInArrow(_sets(k), "node long, shingles array<long>"))
+    wanted = cut(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
+    sets = cut(nodes.join(bounded(wanted), "node", "left_semi").mapInArrow(_sets(k), "node long, shingles array<long>"))
     left = hub.join(sets, hub.a == sets.node).select("a", "deal", F.col("shingles").alias("sa"), F.explode(F.sequence(F.lit(0), F.col("deal") - 1)).alias("part"))
     dealt = salted_join(pairs, hub, ["a"], F.col("b"), "inner").withColumn("part", F.pmod(F.xxhash64("b"), F.col("deal")).cast("int")).drop("deal")
     right = dealt.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
@@ -252,8 +250,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = signed.filter("n_shingles > 0")
     copies = full.groupBy("set_one", "set_two").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     repeats = cut(salted_join(full.select("node", "set_one", "set_two"), copies, ["set_one", "set_two"], F.col("node")).select("node", "first").distinct())
-    nodes = full.join(repeats.filter("node <> first").select("node"), "node", "left_anti")
-    nodes = cut((nodes.dropDuplicates(["node"]) if repeated else nodes).select("node", "n_shingles", "sketch", "parity", "keys"))
+    # not stored again: what is read of it comes from the stored signatures
+    nodes = full.join(bounded(cut(repeats.filter("node <> first").select("node"))), "node", "left_anti").select("node", "n_shingles", "sketch", "parity", "keys")
+    nodes = cut(nodes.dropDuplicates(["node"])) if repeated else nodes
 
     met = cut(_buckets(nodes))
     ends = F.array(F.struct(F.col("low").alias("a"), F.col("node").alias("b")), F.struct(F.col("high").alias("a"), F.col("node").alias("b")))
@@ -267,17 +266,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = cut(_confirmed(stars, texts, k, percent))
     labels = components(links)
 
-    tried, blocks = cut(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), None
-    for first, last in ((0, NEAREST), (NEAREST, None)):
-        near = _candidates(met, nodes, labels, blocks, _close(limit, percent, first, last))
+    tried, keys = cut(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), None
+    for most in (NEAREST, None):
+        near = _candidates(met, nodes, labels, keys, _close(limit, percent, most))
         if near is None:
             break
-        more = near.filter("a IS NOT NULL").select("a", "b").distinct().join(bounded(tried), ["a", "b"], "left_anti")
-        found = cut(_confirmed(cut(more), texts, k, percent))
+        more = cut(near.filter("a IS NOT NULL").select("a", "b").distinct().join(bounded(tried), ["a", "b"], "left_anti"))
+        found = cut(_confirmed(more, texts, k, percent))
         if not found.isEmpty():
             links = cut(links.union(found))
             labels = components(links)
-        blocks = near.filter("a IS NULL").select("key", "i", "j")
+        tried, keys = cut(tried.union(more)), cut(near.filter("a IS NULL").select("key").distinct())
 
     named = signed.select("doc_id", "text_key", "n_shingles", "node").join(repeats, "node", "left").withColumn("node", F.coalesce("first", "node")).drop("first")
     # a component's root may be the node of very many copies
@@ -316,24 +315,28 @@ def _named(signed: DataFrame, table: DataFrame) -> tuple[DataFrame, DataFrame, b
     return signed, texts, True, True
 
 
-def _candidates(met: DataFrame, nodes: DataFrame, labels: DataFrame, blocks: DataFrame | None, close) -> DataFrame | None:
-    """What close() returns of the blocks, of those given or of all, of buckets that hold several components; None if there are none."""
-    if blocks is not None and blocks.isEmpty():
+def _candidates(met: DataFrame, nodes: DataFrame, labels: DataFrame, keys: DataFrame | None, close) -> DataFrame | None:
+    """What close() returns of the buckets, of those given or of all, that hold several components; None if there are none.
+
+    Members of a bucket's largest component need no comparison with each other: their blocks meet those of all other
+    members only, and these each other's.
+    """
+    if keys is not None and keys.isEmpty():
         return None
-    now = met if blocks is None else met.join(bounded(cut(blocks.select("key").distinct())), "key", "left_semi")
-    now = now.select("key", "node", "n").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = cut(now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key"))
+    now = met if keys is None else met.join(bounded(keys), "key", "left_semi")
+    now = now.select("key", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = now.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
+    split = sizes.agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("m"), F.sum("n").alias("n")).filter("m < n")
+    split = cut(split.select("key", "main", F.ceil(F.col("m") / BLOCK).cast("int").alias("bm"), F.ceil((F.col("n") - F.col("m")) / BLOCK).cast("int").alias("bo")))
     if split.isEmpty():
         return None
     few = bounded(split)
     rest = now.join(few, "key") if few is not split else salted_join(now, split, ["key"], F.col("node"))
-    rest = rest.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("key", "node", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"))
-    if blocks is not None:
-        rest = rest.join(bounded(blocks), ["key", "i", "j"], "left_semi")
-    rest = rest.join(nodes.drop("keys"), "node").select("key", "i", "j", "node", "component", "side", "n_shingles", "sketch", "parity")
-    return cut(rest.groupBy("key", "i", "j").applyInArrow(close, "a long, b long, key long, i long, j long"))
+    rest = rest.join(nodes.drop("keys"), "node").withColumn("h", F.xxhash64("node")).withColumn("in", F.col("component") == F.col("main"))
+    rest = rest.withColumn("own", F.when(F.col("in"), F.pmod("h", "bm")).otherwise(F.col("bm") + F.pmod("h", "bo")).cast("int"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.when(F.col("in"), F.col("bm")).otherwise(0), F.col("bm") + F.col("bo") - 1)))
+    rest = rest.select("key", "node", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"), "n_shingles", "sketch", "parity")
+    return cut(rest.groupBy("key", "i", "j").applyInArrow(close, "a long, b long, key long"))
 
 
 #: near_duplicates() with k=3 and percent=85 in DuckDB.
