@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Fixed values.
+#: Fixed values. Numerals of titles go up to 99.
 ROMAN = {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100, "D": 500, "M": 1000}
-HAN = {"零": 0, "〇": 0, "一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
-HAN_UNITS = {"十": 10, "百": 100, "千": 1000}
+HAN = {"零": 0, "一": 1, "二": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9, "十": 10}
 
 
 def _lookup(values: dict[str, int], c: Column) -> Column:
@@ -17,45 +16,44 @@ def _lookup(values: dict[str, int], c: Column) -> Column:
 
 
 def roman(c: Column) -> Column:
-    """A smaller numeral before a larger one is taken off; IIII is not refused."""
+    """A smaller numeral before a larger one is taken off."""
     n = F.transform(F.filter(F.split(F.upper(c), ""), lambda x: x != ""), lambda x: _lookup(ROMAN, x))
     return F.aggregate(F.reverse(n), F.struct(F.lit(0).alias("sum"), F.lit(0).alias("top")), lambda a, x: F.struct((a["sum"] + F.when(x < a["top"], -x).otherwise(x)).alias("sum"), F.greatest(a["top"], x).alias("top")), lambda a: a["sum"])
 
 
 def han(c: Column) -> Column:
-    """Digits times units; a unit without a digit counts once."""
-    zero = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("digit"))
-
-    def step(a: Column, x: Column) -> Column:
-        unit = _lookup(HAN_UNITS, x)
-        return F.struct(F.when(unit > 0, a["sum"] + F.greatest(a["digit"], F.lit(1)) * unit).otherwise(a["sum"]).alias("sum"), F.when(unit > 0, 0).otherwise(_lookup(HAN, x)).alias("digit"))
-
-    return F.aggregate(F.filter(F.split(c, ""), lambda x: x != ""), zero, step, lambda a: a["sum"] + a["digit"])
+    """One numeral, or tens and ones around 十, each of which may be missing; null for anything else."""
+    digit = "[零一二三四五六七八九]"
+    value = lambda i: _lookup(HAN, F.regexp_extract(c, rf"^({digit}?)十({digit}?)$", i))
+    tens = F.when(F.left(c, F.lit(1)) == "十", 1).otherwise(value(1))
+    return F.when(c.rlike(rf"^{digit}$"), _lookup(HAN, c)).when(c.rlike(rf"^{digit}?十{digit}?$"), tens * 10 + value(2))
 
 
 def numbering(title: Column) -> Column:
     """The heading's number as an array of segments, null if there is none.
 
-    Forms in their order: Chapter 2, 第二章, Appendix A.1, A.1, 2.3.1, IV. Numbers as text; letters stay.
+    Marks (#) and white space before the title don't count. The forms are tried in this order: Chapter 2, 第二章,
+    Appendix A.1, A.1, 2.3.1 (with something after it), IV.2 (a well-formed numeral, with white space after it).
     """
-    t = F.trim(title)
+    t = F.trim(F.regexp_replace(title, r"^#+", ""))
     get = lambda p, i=1: F.regexp_extract(t, p, i)
     has = lambda p: t.rlike(p)
-    chapter = r"(?i)^(?:chapter|section|part)\s+(?:(\d+(?:\.\d+)*)|([IVXLCDM]+))(?![A-Za-z0-9])"
-    zh = r"^第\s*([零〇一二两三四五六七八九十百千]+|\d+)\s*[章节篇部]"
-    appendix = r"(?i)^appendix\s+([A-Z](?:\.\d+)*)(?![A-Za-z0-9])"
-    short = r"^([A-Z](?:\.\d+)+)(?![A-Za-z0-9])"
-    arabic = r"^(\d+(?:\.\d+)*)(?![A-Za-z0-9])"
-    romans = r"^([IVXLCDM]+)(?:\.|\s|$)"
-    dots = lambda c: F.split(c, r"\.")
+    chapter = r"(?i)^\s*(?:chapter|section|part)\s+(\d+)\b"
+    zh = r"^\s*第\s*([0-9零一二三四五六七八九十百千]+)\s*[章节篇部]"
+    appendix = r"(?i)^\s*(?:appendix|附录)\s+([A-Z])\b(?:\.(\d+(?:\.\d+)*))?"
+    short = r"^\s*([A-Z])\.(\d+(?:\.\d+)*)\b"
+    arabic = r"^\s*(\d+(?:\.\d+)*)\.?(?=\s|[^\d.\s])"
+    romans = r"^\s*(?=[IVXLCDM])(M{0,3}(?:C[MD]|D?C{0,3})(?:X[CL]|L?X{0,3})(?:I[XV]|V?I{0,3}))(?:\.(\d+(?:\.\d+)*))?\.?\s+"
     one = lambda c: F.array(c.cast("string"))
+    tail = lambda p: F.filter(F.split(get(p, 2), r"\."), lambda x: x != "")
+    number = F.when(get(zh).rlike(r"^\d+$"), get(zh).try_cast("int")).otherwise(han(get(zh)))
     return (
-        F.when(has(chapter), F.when(get(chapter) != "", dots(get(chapter))).otherwise(one(roman(get(chapter, 2)))))
-        .when(has(zh), F.when(get(zh).rlike(r"^\d+$"), one(get(zh))).otherwise(one(han(get(zh)))))
-        .when(has(appendix), dots(F.upper(get(appendix))))
-        .when(has(short), dots(get(short)))
-        .when(has(arabic), dots(get(arabic)))
-        .when(has(romans), one(roman(get(romans))))
+        F.when(has(chapter), one(get(chapter)))
+        .when(has(zh) & number.isNotNull(), one(number))
+        .when(has(appendix), F.concat(one(F.upper(get(appendix))), tail(appendix)))
+        .when(has(short), F.concat(one(get(short)), tail(short)))
+        .when(has(arabic), F.split(get(arabic), r"\."))
+        .when(has(romans), F.concat(one(roman(get(romans))), tail(romans)))
     )
 
 

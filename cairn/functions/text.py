@@ -14,9 +14,9 @@ BLANKS = r"[ \t\x0B\f\x{A0}\x{3000}]+"
 #: Script classes in the order in which ties are settled.
 SCRIPTS = [
     ("zh", r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}]"),
-    ("ko", r"[\x{AC00}-\x{D7AF}]"),
+    ("ko", r"[\x{AC00}-\x{D7AF}\x{1100}-\x{11FF}]"),
     ("ru", r"[\x{0400}-\x{04FF}]"),
-    ("ar", r"[\x{0600}-\x{06FF}]"),
+    ("ar", r"[\x{0600}-\x{06FF}\x{0750}-\x{077F}]"),
     ("hi", r"[\x{0900}-\x{097F}]"),
     ("th", r"[\x{0E00}-\x{0E7F}]"),
     ("en", r"[A-Za-z\x{C0}-\x{24F}]"),
@@ -65,17 +65,24 @@ def clean_all(c: Column, special: bool = True, text: bool = True, lines: bool =
 
 
 def language(c: Column, fallback: str = "en") -> Column:
-    """Kana first (3 or more, and 5 % of all letters), else the script with most letters, ties in the list's order."""
-    kana = F.regexp_count(c, F.lit(KANA))
-    counts = [(name, F.regexp_count(c, F.lit(p))) for name, p in SCRIPTS]
-    total = kana
-    for _, n in counts:
-        total = total + n
-    most = F.greatest(*(n for _, n in counts))
-    out = F.when((kana >= 3) & (kana * 20 >= total), "ja").when(most == 0, fallback)
-    for name, n in counts:
-        out = out.when(n == most, name)
-    return F.when(c.isNull(), fallback).otherwise(out)
+    """Kana first (3 or more, and 5 % of all letters), else the script with most letters, ties in the list's order.
+
+    Texts of ASCII alone can only be of one script. In others each script's letters are counted once.
+    """
+    left = lambda pattern: F.length(c) - F.length(F.regexp_replace(c, pattern[:-1] + "]+", ""))
+    counted = F.struct(left(KANA).alias("kana"), *(left(p).alias(name) for name, p in SCRIPTS))
+
+    def chosen(n: Column) -> Column:
+        scripts = [n[name] for name, _ in SCRIPTS]
+        most, total = F.greatest(*scripts), sum(scripts, n["kana"])
+        out = F.when((n["kana"] >= 3) & (n["kana"] * 20 >= total), "ja").when(most == 0, fallback)
+        for name, _ in SCRIPTS:
+            out = out.when(n[name] == most, name)
+        return out
+
+    plain = F.when(c.rlike("[A-Za-z]"), "en").otherwise(fallback)
+    mixed = F.transform(F.array(counted), chosen)[0]
+    return F.when(c.isNull(), fallback).when(F.octet_length(c) == F.length(c), plain).otherwise(mixed)
 
 
 def token_estimate(c: Column) -> Column:

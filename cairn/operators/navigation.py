@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -74,8 +75,8 @@ def context_window(anchors: DataFrame, rows: DataFrame, parent: str, order: Sequ
 def outline(nodes: DataFrame, key: str = "section_id", parent: str = "parent_id", max_depth: int = 3) -> DataFrame:
     """(key, depth, path) from the roots down, a level a step.
 
-    Roots have no parent or an unknown one. A node is taken up once, so cycles end; what no root reaches (a cycle)
-    is added as a root of its own. max_depth bounds the number of steps.
+    Roots have no parent or an unknown one. max_depth bounds the number of steps. Cycles and what lies deeper are not
+    in it: skeleton() takes those up too.
     """
     known = nodes.select(F.col(key).alias("__k")).distinct()
     rows = nodes.join(known, F.col(parent) == F.col("__k"), "left")
@@ -89,6 +90,46 @@ def outline(nodes: DataFrame, key: str = "section_id", parent: str = "parent_id"
     return found
 
 
+def skeleton(sections: DataFrame, document: str = "document_id", key: str = "section_id", parent: str = "parent_id", ord_col: str = "ord", max_depth: int = 3) -> DataFrame:
+    """(document, key, depth, parent, pos) for every section: its place in its document's outline, read in order.
+
+    Roots have no parent or one that is unknown in the document; siblings go by ord and then key. A section is taken up
+    once, so cycles end. What was not reached, deeper than max_depth or in a cycle, starts again at the top, in
+    order. A document's sections are one group; their number is bounded by what a document holds.
+    """
+    kind = {f.name: f.dataType.simpleString() for f in sections.schema}
+
+    def one(table: pa.Table) -> pa.Table:
+        rows = table.sort_by([("ord", "ascending"), ("key", "ascending")]).to_pylist()
+        known = {r["key"] for r in rows}
+        children: dict = {}
+        for r in rows:
+            children.setdefault(r["parent"], []).append(r["key"])
+        seen, out = set(), []
+        tops = [r["key"] for r in rows if r["parent"] is None or r["parent"] not in known]
+        for top in (*tops, *(r["key"] for r in rows)):
+            work = [(top, None, 1)]
+            while work:
+                node, above, depth = work.pop()
+                if node in seen:
+                    continue
+                seen.add(node)
+                out.append({"document": rows[0]["document"], "key": node, "depth": depth, "parent": above, "pos": len(out)})
+                if depth < max_depth:
+                    work += [(c, node, depth + 1) for c in reversed(children.get(node, []))]
+        return pa.Table.from_pylist(out, schema=pa.schema([("document", table.schema.field("document").type), ("key", table.schema.field("key").type), ("depth", pa.int32()), ("parent", table.schema.field("key").type), ("pos", pa.int32())]))
+
+    rows = sections.select(F.col(document).alias("document"), F.col(key).alias("key"), F.col(parent).cast(kind[key]).alias("parent"), F.col(ord_col).alias("ord"))
+    out = rows.groupBy("document").applyInArrow(one, f"document {kind[document]}, key {kind[key]}, depth int, parent {kind[key]}, pos int")
+    return out.withColumnsRenamed({"document": document, "key": key, "parent": parent})
+
+
+def section_order(sections: DataFrame, links: DataFrame, elements: DataFrame) -> DataFrame:
+    """Sections of documents with the place of their first live element; deleted links and elements don't hide a section."""
+    first = links.filter("NOT deleted").select("section_id", "element_id").join(elements.filter("NOT deleted").select("element_id", "ord"), "element_id")
+    return sections.join(first.groupBy("section_id").agg(F.min("ord").alias("ord")), "section_id", "left").withColumn("ord", F.coalesce("ord", F.lit(0)))
+
+
 def outline_text(rows: DataFrame, title: str, path: str = "path", depth: str = "depth") -> Column:
     """One indented line."""
     return F.concat(F.repeat(F.lit("  "), F.col(depth)), F.lit("- "), F.col(title))

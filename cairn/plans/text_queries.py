@@ -115,17 +115,33 @@ def text_islands(spark, sf_dir):
     return rows.groupBy("doc_id", "section_no").agg(F.count(F.lit(1)).alias("elements"), (F.max("island") - F.min("island") + 1).alias("islands"))
 
 
-#: Headings with every form of number.
-TITLES = [(1, 1, "Chapter 1 Scope"), (1, 2, "1.1 Terms"), (1, 3, "1.1.2 Names"), (1, 4, "Introduction"), (1, 5, "第二章 方法"), (1, 6, "2.1 Data"), (1, 7, "Appendix A"), (1, 8, "A.1 Tables"), (1, 9, "II"), (1, 10, "2.3 More"), (2, 1, "2024 Report"), (2, 2, "3.1 Orphan"), (2, 3, "IV. Results"), (2, 4, "4.2.1 Deep")]
-_TITLES = ", ".join(f"({d}, {o}, '{t}')" for d, o, t in TITLES)
+#: Forms of headings; %s is a number that the row decides. The number of each follows from the form alone.
+_FORMS = [("Chapter %s Scope", "{n}"), ("## %s.1 Terms", "{n}.1"), ("%s.1.2 Names", "{n}.1.2"), ("Introduction", None), ("%s.1.2.9. Deep", "{n}.1.2.9"), ("Appendix B.%s Data", "B.{n}"), ("B.%s.4 Tables", "B.{n}.4"), ("%s", None), ("Part IV", None), ("IIII wrong", None), ("II.%s More", "2.{n}"), ("XIV. Last", "14")]
+_FORM = "(o_orderkey % 12)"
+_TITLE = "CASE " + " ".join(f"WHEN {_FORM} = {i} THEN replace('{f}', '%s', (o_custkey % 7)::VARCHAR)" for i, (f, _) in enumerate(_FORMS)) + " END"
+_NUMBER = "CASE " + " ".join(f"WHEN {_FORM} = {i} THEN replace('{n}', '{{n}}', (o_custkey % 7)::VARCHAR)" for i, (_, n) in enumerate(_FORMS) if n) + " END"
 
 
-@query("T22_T23_section_tree", """
-SELECT * FROM (VALUES (1, 1, '1', NULL), (1, 2, '1.1', 1), (1, 3, '1.1.2', 2), (1, 4, NULL, NULL), (1, 5, '2', NULL), (1, 6, '2.1', 5), (1, 7, 'A', NULL), (1, 8, 'A.1', 7), (1, 9, '2', NULL), (1, 10, '2.3', 9),
- (2, 1, '2024', NULL), (2, 2, '3.1', NULL), (2, 3, '4', NULL), (2, 4, '4.2.1', 3)) t(document_id, section_id, number, parent_id)""")
+def _headings(spark, sf_dir):
+    form = F.col("o_orderkey") % 12
+    title = F.lit(None).cast("string")
+    for i, (f, _) in enumerate(_FORMS):
+        title = F.when(form == i, F.replace(F.lit(f), F.lit("%s"), (F.col("o_custkey") % 7).cast("string"))).otherwise(title)
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("document_id"), F.col("o_orderkey").alias("section_id"), F.col("o_orderkey").alias("ord"), title.alias("title"))
+
+
+@query("T22_numbering", f"SELECT o_orderkey AS section_id, {_NUMBER} AS number FROM orders")
+def headings(spark, sf_dir):
+    return _headings(spark, sf_dir).select("section_id", F.array_join(numbering.numbering(F.col("title")), ".").alias("number"))
+
+
+@query("T22_T23_section_tree", f"""
+WITH h AS (SELECT o_custkey AS document_id, o_orderkey AS section_id, {_NUMBER} AS number FROM orders),
+u AS (SELECT a.document_id, a.section_id, b.section_id AS parent_id, row_number() OVER (PARTITION BY a.document_id, a.section_id ORDER BY length(b.number) DESC, b.section_id DESC) AS r
+      FROM h a JOIN h b ON a.document_id = b.document_id AND b.section_id < a.section_id AND starts_with(a.number, b.number || '.'))
+SELECT h.document_id, h.section_id, h.number, u.parent_id FROM h LEFT JOIN u ON h.document_id = u.document_id AND h.section_id = u.section_id AND r = 1""")
 def section_tree(spark, sf_dir):
-    rows = spark.sql(f"SELECT document_id, ord, title, ord AS section_id FROM VALUES {_TITLES} AS t(document_id, ord, title)")
-    return numbering.section_tree(rows).select("document_id", "section_id", "number", "parent_id")
+    return numbering.section_tree(_headings(spark, sf_dir)).select("document_id", "section_id", "number", "parent_id")
 
 
 @query("T38_content_ids", "SELECT doc_id, sha256(text) AS sha256, min(doc_id) OVER (PARTITION BY text) AS document_id, count(*) OVER (PARTITION BY text) AS copies FROM documents")
