@@ -131,3 +131,19 @@ def split_table(rows: Column, size: int, caption: Column, footnote: Column) -> C
         return F.transform(groups, lambda g: F.concat_ws("\n", F.concat(F.lit("table_caption: "), caption), head, F.array_join(g, "\n"), F.concat(F.lit("table_footnote: "), footnote)))
 
     return F.when(F.size(rows) > 0, F.transform(F.array(rows), run)[0]).otherwise(F.array().cast("array<string>"))
+
+
+#: The splitters' defaults.
+SIZE, OVERLAP = 1000, 200
+STRATEGIES = ("structure_first", "recursive", "regular", "tokens")
+
+
+def split_text(c: Column, strategy: str = "structure_first", size: int = SIZE, overlap: int = OVERLAP, separator: str = "\n\n") -> Column:
+    """The pieces of a text by a named strategy; a size below 1, or an overlap that isn't smaller, is an error."""
+    if size < 1 or not 0 <= overlap < size:
+        raise ValueError(f"size {size}, overlap {overlap}")
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown strategy {strategy}")
+    if strategy == "regular":
+        return split_regular(c, separator, size)
+    return {"structure_first": split_structure_first, "recursive": split_recursive, "tokens": split_tokens}[strategy](c, size, overlap)

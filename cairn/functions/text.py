@@ -196,3 +196,46 @@ def stable_id(prefix: str, *parts: Column) -> Column:
 def rebased(path: Column, old: Column, new: Column) -> Column:
     """A path under old, moved below new."""
     return F.concat(new, F.substring(path, F.length(old) + 1, F.length(path)))
+
+
+def substitute_ids(c: Column, aliases: Column) -> Column:
+    """Full ids in a text replaced by their aliases, an array of (id, alias) structs, longest ids first."""
+    longest = F.array_sort(F.transform(aliases, lambda a: F.struct((-F.length(a["id"])).alias("n"), a["id"].alias("id"), a["alias"].alias("alias"))))
+    return F.aggregate(longest, c, lambda text, a: F.replace(text, a["id"], a["alias"]))
+
+
+def looks_like_alias(c: Column) -> Column:
+    """X10, Q26."""
+    return F.coalesce(c.rlike(r"^c[0-9]+$"), F.lit(False))
+
+
+def distinct_ids(ids: Column) -> Column:
+    """In order of first appearance; blank ones go."""
+    return F.array_distinct(F.filter(F.transform(ids, lambda x: F.trim(x)), lambda x: F.coalesce(x, F.lit("")) != ""))
+
+
+def resolve_aliases(names: Column, aliases: Column) -> Column:
+    """(ids, unresolved): full ids of a list of aliases or ids; aliases that name nothing are reported."""
+    known = F.map_from_entries(F.transform(aliases, lambda a: F.struct(a["alias"], a["id"])))
+    one = lambda x: F.when(looks_like_alias(x), F.try_element_at(known, x)).otherwise(x)
+    found = F.filter(F.transform(distinct_ids(names), one), lambda x: x.isNotNull())
+    lost = F.filter(distinct_ids(names), lambda x: looks_like_alias(x) & F.try_element_at(known, x).isNull())
+    return F.struct(F.array_distinct(found).alias("ids"), lost.alias("unresolved"))
+
+
+def page_position(bbox: Column) -> Column:
+    """Q33: a box as JSON, if it has four numbers."""
+    return F.when(F.size(bbox) == 4, F.to_json(bbox))
+
+
+def chunk_texts(kind: Column, text: Column, caption: Column, body: Column, footnote: Column, section: Column, page: Column) -> Column:
+    """(search, display): what is searched and what is shown of a chunk, by its kind."""
+    table = F.struct(table_text(caption, html_table_text(body), footnote).alias("search"), table_text(caption, body, footnote).alias("display"))
+    shown = image_text(caption, footnote, section, page)
+    image = F.struct(shown.alias("search"), shown.alias("display"))
+    return F.when(kind == "table", table).when(kind == "image", image).otherwise(F.struct(text.alias("search"), text.alias("display")))
+
+
+def enhanced_text(title: Column, text: Column) -> Column:
+    """A chunk's text below its section's title."""
+    return F.concat_ws("\n", blank_to_null(title), text)

@@ -141,3 +141,39 @@ def content_ids(rows: DataFrame, content: str, key: str) -> DataFrame:
     """Equal content has the id of its first row."""
     first = rows.groupBy(F.sha2(F.col(content).cast("binary"), 256).alias("sha256")).agg(F.min(key).alias("document_id"), F.count(F.lit(1)).alias("copies"))
     return rows.withColumn("sha256", F.sha2(F.col(content).cast("binary"), 256)).join(first, "sha256")
+
+
+def cascade_files(files: DataFrame, folders: DataFrame, action: str) -> DataFrame:
+    """The files of a set of folders are trashed with them (live ones only), restored (cascaded ones only) or dropped (trashed ones)."""
+    hit = files.join(folders.select("folder_id").distinct().withColumn("__in", F.lit(True)), "folder_id", "left")
+    inside = F.coalesce("__in", F.lit(False))
+    if action == "purge":
+        return hit.filter(~(inside & (F.col("deleted") != LIVE))).select(*files.columns)
+    was, to = {"delete": (LIVE, CASCADED), "restore": (CASCADED, LIVE)}[action]
+    return hit.withColumn("deleted", F.when(inside & (F.col("deleted") == was), F.lit(to)).otherwise(F.col("deleted"))).select(*files.columns)
+
+
+def move_files(files: DataFrame, moves: DataFrame, folders: DataFrame) -> DataFrame:
+    """(file_id, folder_id, outcome) of each wanted move (file_id, target_id).
+
+    The target must exist, be live and belong to the file's user and knowledge base; a file that is there already is
+    skipped. Outcomes: moved, same, no_file, no_folder.
+    """
+    target = folders.filter(F.col("deleted") == LIVE).select(F.col("folder_id").alias("target_id"), F.col("user_id").alias("__user"), F.col("knowledge_base_id").alias("__kb"))
+    met = moves.join(files.filter(F.col("deleted") == LIVE).select("file_id", F.col("folder_id").alias("__was"), "user_id", "knowledge_base_id", F.lit(True).alias("__file")), "file_id", "left").join(target, "target_id", "left")
+    fits = (F.col("__user") == F.col("user_id")) & (F.col("__kb") == F.col("knowledge_base_id"))
+    outcome = F.when(F.col("__file").isNull(), "no_file").when(~F.coalesce(fits, F.lit(False)), "no_folder").when(F.col("__was") == F.col("target_id"), "same").otherwise("moved")
+    return met.select("file_id", F.when(outcome == "moved", F.col("target_id")).otherwise(F.col("__was")).alias("folder_id"), outcome.alias("outcome"))
+
+
+def touched_sessions(sessions: DataFrame, messages: DataFrame, key: str = "session_id") -> DataFrame:
+    """Q14: counters grow by the new messages, and the time of the last one is set; other sessions stay."""
+    more = messages.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), F.max("at").alias("__at"))
+    met = sessions.join(more, key, "left")
+    return met.withColumn("message_count", F.col("message_count") + F.coalesce("__n", F.lit(0))).withColumn("last_message_at", F.greatest("last_message_at", "__at")).select(*sessions.columns)
+
+
+def rows_by_ids(rows: DataFrame, ids: DataFrame, key: str, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """Q2, Q8: the live rows of some ids, in the order of the key; a page of them if one is wanted."""
+    out = rows.filter(F.col("deleted") == LIVE).join(ids.select(key).distinct(), key, "left_semi").orderBy(key)
+    return out.offset(offset) if limit is None else out.offset(offset).limit(limit)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cairn.functions.text import token_estimate
+from cairn.functions.text import message_text, token_estimate
 
 #: Fixed values.
 SAFETY, SOFT_SHARE, TOOL_FLOOR, WINDOW_CAP = 1.2, 0.8, 512, 200_000
@@ -122,3 +122,52 @@ def compress(messages: DataFrame, n: int, most: int = 200, session: str = "conv_
     old = F.col("turn_no") <= F.max("turn_no").over(Window.partitionBy(session)) - n
     parts = rows.withColumn("__old", old).filter("__old").select(session, F.struct(F.col(seq).alias("s"), F.left(F.col(text), F.lit(most)).alias("t")).alias("x"))
     return parts.groupBy(session).agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]), "\n").alias("summary"))
+
+
+#: What a message costs beside its text, and the factor of the cautious count.
+ROLES = ("system", "user", "assistant", "tool")
+SAFETY = 1.2
+
+
+def message_tokens(messages: DataFrame, session: str = "conv_id", text: str = "text", calls: str | None = None) -> DataFrame:
+    """(session, tokens, cautious): the estimate of each session's texts, and tool calls where there are some."""
+    parts = [F.col(text)] + ([F.col(calls)] if calls else [])
+    tokens = F.sum(token_estimate(message_text(*parts))).alias("tokens")
+    return messages.groupBy(session).agg(tokens).withColumn("cautious", F.floor(F.col("tokens") * SAFETY))
+
+
+def history_messages(rows: DataFrame, role: str = "role", text: str = "text") -> DataFrame:
+    """Rows as messages: a null text is empty; an unknown role is an error."""
+    known = F.when(F.col(role).isin(*ROLES), F.col(role)).otherwise(F.raise_error(F.concat(F.lit("unknown role: "), F.coalesce(role, F.lit("null")))))
+    return rows.withColumn(role, known).withColumn(text, F.coalesce(text, F.lit("")))
+
+
+def composed(history: DataFrame, system: str, asked: DataFrame, session: str = "conv_id", seq: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """C11: (session, pos, role, text): the system prompt, the history in order, and the user's message of each asked session."""
+    head = asked.select(session, F.lit(0).alias("part"), F.lit(0).cast("long").alias("at"), F.lit("system").alias("role"), F.lit(system).alias("text"))
+    said = history.join(asked.select(session), session, "left_semi").select(session, F.lit(1).alias("part"), F.col(seq).cast("long").alias("at"), F.col(role).alias("role"), F.col(text).alias("text"))
+    last = asked.select(session, F.lit(2).alias("part"), F.lit(0).cast("long").alias("at"), F.lit("user").alias("role"), F.col(text).alias("text"))
+    pos = F.row_number().over(Window.partitionBy(session).orderBy("part", "at")) - 1
+    return head.unionByName(said).unionByName(last).select(session, pos.alias("pos"), "role", "text")
+
+
+def folder_documents(folders: DataFrame, files: DataFrame, folder_id, below: bool = True) -> DataFrame:
+    """(document_id) of the files in a folder, and in the folders below it, once each; files without a document are passed over."""
+    root = folders.filter(F.col("folder_id") == folder_id).select(F.col("full_path").alias("__root"))
+    inside = (F.col("folder_id") == folder_id) | (F.lit(below) & F.startswith("full_path", F.concat("__root", F.lit("/"))))
+    chosen = folders.crossJoin(F.broadcast(root)).filter(inside).select("folder_id")  # one row
+    return files.join(chosen, "folder_id", "left_semi").filter("document_id IS NOT NULL").select("document_id").distinct()
+
+
+def file_documents(files: DataFrame, file_id, kb) -> DataFrame:
+    """C17: the one document of a file, if the file is in the knowledge base."""
+    mine = files.filter((F.col("file_id") == file_id) & (F.col("knowledge_base_id") == kb) & F.col("document_id").isNotNull())
+    return mine.select("document_id").distinct().orderBy("document_id").limit(1)
+
+
+def mentions_resolved(mentions: DataFrame, known: DataFrame, session: str = "session_id", at: str = "pos") -> DataFrame:
+    """(session, kind, id, name, pos): mentions once each, as first made; what isn't known is passed over."""
+    first = mentions.groupBy(session, "kind", "id").agg(F.min(at).alias("__at"))
+    met = first.join(known.select("kind", "id", "name"), ["kind", "id"])
+    pos = F.row_number().over(Window.partitionBy(session).orderBy("__at", "kind", "id")) - 1
+    return met.select(session, "kind", "id", "name", pos.alias("pos"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cairn.functions.split import split_structure_first
-from cairn.functions.text import stable_id
+from cairn.functions.text import chunk_texts, language, stable_id
 
 ELEMENT_TYPES = ["text", "image", "table", "equation", "discarded"]
 
@@ -112,3 +112,43 @@ def summary_fields(raw: Column) -> Column:
     got = F.from_json(F.regexp_extract(raw, r"(?s)(\{.*\})", 1), "summary string, keywords string, topics string, type string")
     items = lambda c: F.filter(F.transform(F.split(F.regexp_replace(c, r"[\[\]\"]", ""), r"[,，]"), lambda x: F.trim(x)), lambda x: x != "")
     return F.struct(F.coalesce(got["summary"], F.trim(raw)).alias("summary"), items(F.coalesce(got["keywords"], F.lit(""))).alias("keywords"), items(F.coalesce(got["topics"], F.lit(""))).alias("topics"), got["type"].alias("type"))
+
+
+def document_totals(chunk_rows: DataFrame, document: str = "document_id", text: str = "text") -> DataFrame:
+    """(document, characters, language): over text and table chunks; the language of the first 20 000 characters of the longest."""
+    real = chunk_rows.filter(F.col("chunk_type").isin("text", "table"))
+    longest = F.max_by(F.left(F.col(text), F.lit(20_000)), F.struct(F.length(text), text))
+    return real.groupBy(document).agg(F.sum(F.length(text)).alias("characters"), language(longest).alias("language"))
+
+
+def summary_inputs(sections: DataFrame, document: str = "document_id") -> DataFrame:
+    """Sections with a summary, leaves first, in order: (document, section_id, nth)."""
+    real = sections.filter(F.trim(F.coalesce("summary", F.lit(""))) != "")
+    nth = F.row_number().over(Window.partitionBy(document).orderBy(F.desc("is_leaf"), "ord", "section_id"))
+    return real.select(document, "section_id", "summary", nth.alias("nth"))
+
+
+def leaf_chunks(sections: DataFrame, document: str = "document_id") -> DataFrame:
+    """(document, chunks): parents repeat their leaves' chunks, so only leaves count."""
+    return sections.groupBy(document).agg(F.sum(F.when(F.col("is_leaf"), F.col("n_chunks")).otherwise(0)).cast("long").alias("chunks"))
+
+
+def leaf_sections(sections: DataFrame, key: str = "section_id", parent: str = "parent_id") -> DataFrame:
+    """Sections that are no section's parent; only these feed the questions."""
+    parents = sections.select(F.col(parent).alias(key)).filter(F.col(key).isNotNull()).distinct()
+    return sections.join(parents, key, "left_anti")
+
+
+def filled_search_text(chunk_rows: DataFrame) -> DataFrame:
+    """Rows without a search text get the one that their parts give; running it again changes nothing."""
+    made = chunk_texts(*(F.col(c) for c in ("chunk_type", "text", "caption", "body", "footnote", "section", "page")))["search"]
+    return chunk_rows.withColumn("search_text", F.coalesce(F.nullif(F.trim("search_text"), F.lit("")), made))
+
+
+def tree_diagnosis(sections: DataFrame, key: str = "section_id", parent: str = "parent_id", document: str = "document_id") -> DataFrame:
+    """(document, sections, roots, orphans, wrong_leaves): unknown parents, and leaf marks that the tree contradicts."""
+    known = sections.select(F.col(document).alias("__d"), F.col(key).alias("__k"))
+    has = sections.filter(F.col(parent).isNotNull()).select(F.col(document).alias("__pd"), F.col(parent).alias("__p")).distinct()
+    met = sections.join(known, (F.col(document) == F.col("__d")) & (F.col(parent) == F.col("__k")), "left").join(has, (F.col(document) == F.col("__pd")) & (F.col(key) == F.col("__p")), "left")
+    orphan = F.col(parent).isNotNull() & F.col("__k").isNull()
+    return met.groupBy(document).agg(F.count(F.lit(1)).alias("sections"), F.count_if(F.col(parent).isNull()).alias("roots"), F.count_if(orphan).alias("orphans"), F.count_if(F.col("is_leaf") != F.col("__p").isNull()).alias("wrong_leaves"))

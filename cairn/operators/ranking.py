@@ -25,7 +25,8 @@ def chunk_items(hits: DataFrame, kind: str, key: str) -> DataFrame:
 
 def recall(routes: Mapping[str, DataFrame], key: str = "chunk_id") -> DataFrame:
     """The routes' rows with their ranks; every route must come cut to its top k, so that ranking one is cheap."""
-    ranked = [df.select(F.lit(name).alias("route"), F.lit(i).alias("route_no"), key, F.col("score").cast("double").alias("score")).withColumn("rank", F.row_number().over(Window.partitionBy("route").orderBy(F.desc("score"), key))) for i, (name, df) in enumerate(routes.items())]
+    own = {"route", "route_no", key, "score"}
+    ranked = [df.select(F.lit(name).alias("route"), F.lit(i).alias("route_no"), key, F.col("score").cast("double").alias("score"), *(c for c in df.columns if c not in own)).withColumn("rank", F.row_number().over(Window.partitionBy("route").orderBy(F.desc("score"), key))) for i, (name, df) in enumerate(routes.items())]
     return functools.reduce(DataFrame.unionByName, ranked)
 
 
@@ -35,6 +36,18 @@ def expand(hits: DataFrame, chunks: DataFrame, parent: str, share: float, most:
     return met.withColumn("score", F.col("score") * share)
 
 
+def qa_sources(sources: Column, chunk: Column, own: Column, most: int = ALIGN_CHUNKS) -> Column:
+    """The first five ids of a question's sources, blank ones left out; else its one chunk; else the question itself."""
+    real = F.filter(F.slice(sources.cast("array<string>"), 1, most), lambda s: F.coalesce(s, F.lit("")) != "")
+    one = F.coalesce(F.nullif(chunk.cast("string"), F.lit("")), own.cast("string"))
+    return F.when(F.coalesce(F.size(real), F.lit(0)) > 0, real).otherwise(F.array(one))
+
+
+def id_sample(ids: Column, most: int = 20) -> Column:
+    """The first ids of a collected list, for a report."""
+    return F.slice(ids, 1, most)
+
+
 def rerank_positions(rows: DataFrame, sub: str = "sub_rank") -> DataFrame:
     """Ranks follow from the positions after expansion."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("route").orderBy("rank", sub)))

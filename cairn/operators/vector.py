@@ -56,15 +56,19 @@ def sparse_topk(docs: DataFrame, terms: Sequence[str], k: int, key: str, text: s
     Only the query's terms leave the scan; corpus counts come from all documents. Scores are rounded to 9 places before
     they are ranked, so that ties don't hang on the order of a sum.
     """
+    terms = list(dict.fromkeys(terms))
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+", -1), lambda t: t != "")
-    sized = docs.select(key, words.alias("w")).select(key, F.size("w").alias("length"), F.filter("w", lambda t: t.isin(list(terms))).alias("w"))
-    stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
-    tf = sized.select(key, "length", F.explode("w").alias("term")).groupBy(key, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # a row for each query term at most
-    met = tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))  # one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("length") / F.col("mean")))
-    best = met.groupBy(key).agg(F.round(F.sum(weight), 9).alias("score")).orderBy(F.desc("score"), key).limit(k)
+    sized = docs.select(key, words.alias("w")).select(key, F.size("w").alias("length"), F.filter("w", lambda t: t.isin(terms)).alias("w"))
+    held = [F.count_if(F.array_contains("w", t)).alias(f"df{i}") for i, t in enumerate(terms)]
+    stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), *held)  # one row
+    met = sized.filter(F.size("w") > 0).crossJoin(F.broadcast(stats))
+    times = lambda t: F.size(F.filter("w", lambda x: x == t))
+    score = F.lit(0.0)
+    for i, t in enumerate(terms):
+        tf = times(t)
+        idf = F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
+        score = score + idf * tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * F.col("length") / F.col("mean")))
+    best = met.groupBy(key).agg(F.round(F.sum(score), 9).alias("score")).orderBy(F.desc("score"), key).limit(k)
     return best if threshold is None else best.filter(F.col("score") >= threshold)
 
 

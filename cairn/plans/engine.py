@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.operators import ranking
+from cairn.plans import routes
 
 #: Route classes and defaults.
 SEMANTIC = {"chunk_dense", "enhanced_chunk_dense", "section_dense", "section_summary_dense", "file_summary_dense", "qa_dense"}
@@ -63,10 +64,15 @@ def for_mode(plan: Plan, mode: str, top_k: int) -> Plan:
 
 
 class Engine:
-    """Routes by name; a route is a function (query, top_k, params) -> DataFrame(chunk_id, score)."""
+    """Routes by name; a route is a function (query, top_k, params) -> DataFrame(chunk_id, score).
 
-    def __init__(self):
-        self._routes: dict[str, Callable[[str, int, dict], DataFrame]] = {}
+    With a store it has the nine built-in routes, aligns what they find, and pins answers to questions; without one,
+    the registered routes' hits are taken as chunks.
+    """
+
+    def __init__(self, store: routes.Store | None = None):
+        self.store = store
+        self._routes: dict[str, Callable[[str, int, dict], DataFrame]] = routes.builtin(store) if store else {}
 
     def register(self, name: str, route: Callable[[str, int, dict], DataFrame]) -> None:
         self._routes[name] = route
@@ -84,18 +90,47 @@ class Engine:
         """One capability."""
         return self._routes[name](q, top_k, params)
 
+    @staticmethod
+    def is_semantic(name: str) -> bool:
+        """Q21."""
+        return name in SEMANTIC
+
+    @staticmethod
+    def is_lexical(name: str) -> bool:
+        return name in LEXICAL
+
     def recall(self, q: str, plan: Plan) -> DataFrame:
         """Unknown routes are passed over."""
         return ranking.recall({r.name: self._routes[r.name](r.params.get("query_text") or q, r.top_k, r.params) for r in plan.routes if r.name in self._routes})
 
-    def retrieve(self, q: str, texts: DataFrame, plan: Plan | None = None, top_k: int = 10, mode: str = "hybrid", skip_rerank: bool = False, threshold: float | None = None) -> DataFrame:
-        """Recall, fuse, rerank or cut, threshold."""
+    def pinned(self, recalled: DataFrame) -> DataFrame | None:
+        """The sources of the best question, if its score and answer are good enough: (ord, chunk_id, score, text)."""
+        if self.store is None or self.store.qa is None:
+            return None
+        known = self.store.qa.select(F.col("id").alias("key"), "answer", "source_chunk_ids")
+        asked = recalled.filter("route = 'qa_dense'").join(known, "key").withColumn("source_chunk_ids", F.col("source_chunk_ids").cast("array<string>"))
+        chunks = self.store.texts().select("chunk_id", F.col("text").alias("display_text"), F.col("text").alias("search_text"))
+        return ranking.hydrate(ranking.pin(asked), chunks)
+
+    def candidates(self, q: str, plan: Plan) -> tuple[DataFrame, DataFrame | None]:
+        """(aligned recall rows without the pinned chunks, the pinned evidence): the first phases of R26."""
+        recalled = self.recall(q, plan)
+        if self.store is None:
+            return recalled, None
+        vectors = [r.params["vector"] for r in plan.routes if r.params.get("vector") is not None]
+        asked = self.store.query_vector(q, {"vector": vectors[0] if vectors else None}) if vectors or self.store.embed else None
+        aligned, evidence = routes.align(recalled, self.store, asked), self.pinned(recalled)
+        return (aligned if evidence is None else ranking.without(aligned, evidence)), evidence
+
+    def retrieve(self, q: str, texts: DataFrame | None = None, plan: Plan | None = None, top_k: int = 10, mode: str = "hybrid", skip_rerank: bool = False, threshold: float | None = None) -> DataFrame:
+        """Recall, align, pin, fuse, rerank or cut, threshold. Pinned evidence comes from pinned(), and is not among the rows."""
         if not 1 <= len(q) <= 2000 or not 1 <= top_k <= 100:
             raise ValueError("query or top_k out of bounds")
         plan = for_mode(validated(plan or default_plan(top_k), set(self._routes), top_k), mode, top_k)
-        fused = ranking.fuse(self.recall(q, plan), plan.strategy, plan.weights)
+        rows, _ = self.candidates(q, plan)
+        fused = ranking.fuse(rows, plan.strategy, plan.weights)
         if skip_rerank:
             out = ranking.best(fused, top_k).drop("first")
         else:
-            out = ranking.rerank(fused, texts, q.split(), plan.rerank_top_n, top_k)
+            out = ranking.rerank(fused, self.store.texts() if texts is None else texts, q.split(), plan.rerank_top_n, top_k)
         return out if threshold is None else out.filter(F.col("score") >= threshold)

@@ -108,12 +108,16 @@ def chunk_items(spark, sf_dir):
     return ranking.chunk_items(table(spark, sf_dir, "region"), "section", "r_regionkey").select("chunk_id", "kind")
 
 
-@query("R10_align_qa", "SELECT * FROM (VALUES ('qa:1', 'a', 0), ('qa:1', 'b', 1), ('qa:2', 'own', 0), ('qa:3', 'qa:3', 0)) t(qa, chunk_id, sub)")
+@query("R10_align_qa", """
+WITH q AS (SELECT o_orderkey AS qa, list_transform(list(l_linenumber ORDER BY l_linenumber), lambda n: CASE WHEN n % 2 = 0 THEN '' ELSE n::VARCHAR END)[1:5] AS s, o_orderkey % 3 AS kind FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey),
+r AS (SELECT qa, CASE WHEN kind = 0 AND len(list_filter(s, lambda x: x <> '')) > 0 THEN list_filter(s, lambda x: x <> '') WHEN kind = 1 THEN ['c' || qa] ELSE ['qa:' || qa] END AS ids FROM q)
+SELECT qa, unnest(range(0, len(ids)))::INTEGER AS sub, unnest(ids) AS chunk_id FROM r""")
 def align_qa(spark, sf_dir):
-    rows = spark.sql("SELECT * FROM VALUES ('qa:1', array('a', '', 'b'), NULL), ('qa:2', array(''), 'own'), ('qa:3', array(), NULL) AS t(qa, sources, chunk)")
-    real = F.filter("sources", lambda s: s != "")
-    ids = F.when(F.size(real) > 0, F.slice(real, 1, 5)).otherwise(F.array(F.coalesce("chunk", "qa")))
-    return rows.select("qa", F.posexplode(ids).alias("sub", "chunk_id"))
+    kind = F.col("qa") % 3
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("qa")).agg(F.array_sort(F.collect_list("l_linenumber")).alias("n"))
+    sources = F.when(kind == 0, F.transform("n", lambda n: F.when(n % 2 == 0, "").otherwise(n.cast("string"))))
+    chunk = F.when(kind == 1, F.concat(F.lit("c"), "qa")).when(kind == 2, "")
+    return lines.select("qa", F.posexplode(ranking.qa_sources(sources, chunk, F.concat(F.lit("qa:"), "qa"))).alias("sub", "chunk_id"))
 
 
 @query("R11_align_summaries", "WITH s AS (SELECT o_custkey AS document_id, o_orderkey AS section_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders WHERE o_custkey IN (1, 2, 4)) SELECT document_id, l_orderkey * 10 + l_linenumber AS chunk_id, 0.56::DOUBLE AS score FROM s JOIN lineitem ON l_orderkey = section_id WHERE n <= 5 AND l_linenumber <= 2")

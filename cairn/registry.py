@@ -32,4 +32,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from cairn.plans import catalog_queries, conversation_queries, more_queries, navigation_queries, ranking_queries, retrieval_queries, stream_queries, text_queries  # noqa: F401
+    from cairn.plans import catalog_queries, conversation_queries, extra_queries, more_queries, navigation_queries, ranking_queries, retrieval_queries, stream_queries, text_queries  # noqa: F401
