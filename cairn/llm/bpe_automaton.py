@@ -25,10 +25,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.runtime import pieces, text_bytes
+from cairn.llm.runtime import pieces, text_bytes, trim
 
-#: Distinct pieces of text, words and transitions that a worker remembers during a task (about 250 MB), and the longest text among them in bytes.
-CACHE, WORDS, TRANSITIONS, CACHED_BYTES = 400_000, 250_000, 400_000, 64
+#: Distinct pieces of text, words and transitions that a worker remembers during a task (about 150 MB), and the longest text among them in bytes.
+CACHE, WORDS, TRANSITIONS, CACHED_BYTES = 300_000, 200_000, 300_000, 64
 CHUNK_BYTES = 1 << 20
 _NEVER = 1 << 60
 _START = -1
@@ -396,6 +396,7 @@ def automaton(path: str) -> Automaton:
     """The automaton of a file, compiled once in each worker."""
     if path not in _OPEN:
         _OPEN[path] = Automaton(path)
+        trim()
     return _OPEN[path]
 
 
@@ -408,6 +409,7 @@ def _each(path: str, make, names: list[str]):
                 texts = [data[offsets[r] : offsets[r + 1]].tobytes() for r in range(i, j)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *make(a, texts)], names=names)
         a.forget()
+        trim()
 
     return run
 

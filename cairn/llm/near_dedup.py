@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 
 from cairn.llm.hashing import mix, shingle_sets
 from cairn.llm.native import bounded
-from cairn.llm.runtime import cut, pieces, salted_join, text_bytes
+from cairn.llm.runtime import cut, pieces, salted_join, text_bytes, trim
 
 BANDS, ROWS = 32, 5
 SKETCH_WORDS = 8
@@ -118,6 +118,7 @@ def _signatures(k: int, bands: int, rows: int):
                 if len(full):
                     at = pa.array(full)
                     yield pa.RecordBatch.from_arrays([ids.slice(i, j - i).take(at), texts.slice(i, j - i).take(at), pa.array(size), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), whole(np.ascontiguousarray(keys)), whole(sketch), whole(parity(sets, size))], names=_SIGNED)
+        trim()
 
     return run
 
@@ -133,6 +134,7 @@ def _sets(k: int):
                 sets, sizes = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(sets.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), lists], names=["node", "shingles"])
+        trim()
 
     return run
 

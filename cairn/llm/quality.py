@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.runtime import pieces, text_bytes
+from cairn.llm.runtime import pieces, text_bytes, trim
 
 PASSAGE_BYTES = 512
 FEATURES = 1024
@@ -107,7 +107,7 @@ class Model:
         out = []
         for i, j in pieces(offsets, CHUNK_BYTES):
             part = offsets[i : j + 1] - offsets[i]
-            if part[-1] > 8 * CHUNK_BYTES:
+            if part[-1] > 2 * CHUNK_BYTES:
                 out.append(np.array([self._long(data[offsets[i] : offsets[j]])]))
                 continue
             counts, n = passage_features(data[offsets[i] : offsets[j]], part)
@@ -170,6 +170,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(*text_bytes(batch.column(1))))], names=["doc_id", "score"])
+        trim()
 
     kind = docs.schema[id_col].dataType.simpleString()
     scored = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
@@ -183,5 +184,6 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(model.scores(*text_bytes(batch.column(at))) >= threshold))
+        trim()
 
     return docs.mapInArrow(run, docs.schema)

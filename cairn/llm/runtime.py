@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -64,6 +65,15 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread: Column
     return left.join(right, [*on, "__salt"], how).drop("__salt")
 
 
+def trim() -> None:
+    """Gives memory that a task of Python has freed back to the system, as the worker lives on with its executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(UTF-8 bytes, offsets) of a string column; a null is empty."""
     if isinstance(column, pa.ChunkedArray):
