@@ -86,13 +86,8 @@ def document_elements(spark, sf_dir):
     return placed.select("document_id", "element_id", F.col("rn").cast("int").alias("rn"))
 
 
-@query("N21_chunk_position", "SELECT l_orderkey AS chunk_id, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_linenumber, l_partkey) AS elements, min_by(p_size, l_linenumber * 1000000 + l_partkey) FILTER (WHERE p_size > 5) AS page FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey % 10 = 0 GROUP BY 1")
+@query("N21_chunk_position", "SELECT l_orderkey AS chunk_id, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_linenumber, l_partkey) AS elements, min_by(p_size, l_linenumber * 1000000 + l_partkey) FILTER (WHERE p_size > 5) AS page FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1")
 def chunk_position(spark, sf_dir):
-    return _positions(spark, sf_dir, table(spark, sf_dir, "lineitem").filter("l_orderkey % 10 = 0"))
-
-
-@query("N21_all_chunk_positions", "SELECT l_orderkey AS chunk_id, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_linenumber, l_partkey) AS elements, min_by(p_size, l_linenumber * 1000000 + l_partkey) FILTER (WHERE p_size > 5) AS page FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1")
-def all_chunk_positions(spark, sf_dir):
     return _positions(spark, sf_dir, table(spark, sf_dir, "lineitem"))
 
 
@@ -120,23 +115,14 @@ def align_qa(spark, sf_dir):
     return lines.select("qa", F.posexplode(ranking.qa_sources(sources, chunk, F.concat(F.lit("qa:"), "qa"))).alias("sub", "chunk_id"))
 
 
-@query("R11_align_summaries", "WITH s AS (SELECT o_custkey AS document_id, o_orderkey AS section_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders WHERE o_custkey IN (1, 2, 4)) SELECT document_id, l_orderkey * 10 + l_linenumber AS chunk_id, 0.56::DOUBLE AS score FROM s JOIN lineitem ON l_orderkey = section_id WHERE n <= 5 AND l_linenumber <= 2")
-def align_summaries(spark, sf_dir):
-    hits = spark.sql("SELECT explode(array(1L, 2L, 4L)) AS document_id, 0.8D AS score")
-    sections = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("document_id"), F.col("o_orderkey").alias("section_id"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).alias("sub_rank"))
-    near = ranking.expand(hits, sections, "document_id", ranking.SUMMARY_SHARE).drop("sub_rank")
-    chunks = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("section_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("chunk_id"), F.col("l_linenumber").alias("sub_rank"))
-    return ranking.expand(near, chunks, "section_id", 1.0, 2).select("document_id", "chunk_id", F.round("score", 6).alias("score"))
-
-
-@query("R11_align_summaries_by_vector", """
-WITH s AS (SELECT o_custkey AS document_id, o_orderkey AS section_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders WHERE o_custkey IN (1, 2, 4)),
+@query("R11_align_summaries", """
+WITH s AS (SELECT o_custkey AS document_id, o_orderkey AS section_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders),
 q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0),
 c AS (SELECT DISTINCT document_id, l_orderkey * 10 + l_linenumber AS chunk_id FROM s JOIN lineitem ON l_orderkey = section_id WHERE n <= 5),
 r AS (SELECT document_id, chunk_id, row_number() OVER (PARTITION BY document_id ORDER BY coalesce(list_cosine_similarity(embedding::DOUBLE[], v), 0) DESC, chunk_id) AS rank FROM c CROSS JOIN q LEFT JOIN embeddings ON vec_id = chunk_id % 500)
 SELECT document_id, chunk_id, 0.56::DOUBLE AS score FROM r WHERE rank <= 5""")
-def align_summaries_by_vector(spark, sf_dir):
-    hits = spark.sql("SELECT explode(array(1L, 2L, 4L)) AS document_id, 0.8D AS score")
+def align_summaries(spark, sf_dir):
+    hits = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("document_id")).distinct().withColumn("score", F.lit(0.8))
     sections = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("document_id"), F.col("o_orderkey").alias("section_id"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).alias("sub_rank"))
     near = ranking.expand(hits, sections, "document_id", ranking.SUMMARY_SHARE).select("document_id", "section_id", F.col("score").alias("share"))
     chunks = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("section_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("chunk_id"))
@@ -181,13 +167,8 @@ def split_table(spark, sf_dir):
     return rows.select(F.posexplode(parts).alias("part", "body"))
 
 
-@query("T27_section_text", "SELECT l_orderkey AS section_id, string_agg(CASE WHEN l_linenumber = 2 THEN '[image]' ELSE 'P' || l_partkey END, chr(10) || chr(10) ORDER BY l_linenumber DESC, l_partkey DESC) AS text FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem) WHERE l_orderkey % 20 = 0 GROUP BY 1")
+@query("T27_section_text", "SELECT l_orderkey AS section_id, string_agg(CASE WHEN l_linenumber = 2 THEN '[image]' ELSE 'P' || l_partkey END, chr(10) || chr(10) ORDER BY l_linenumber DESC, l_partkey DESC) AS text FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem) GROUP BY 1")
 def section_text(spark, sf_dir):
-    return _section_texts(table(spark, sf_dir, "lineitem").filter("l_orderkey % 20 = 0"))
-
-
-@query("T27_all_section_texts", "SELECT l_orderkey AS section_id, string_agg(CASE WHEN l_linenumber = 2 THEN '[image]' ELSE 'P' || l_partkey END, chr(10) || chr(10) ORDER BY l_linenumber DESC, l_partkey DESC) AS text FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem) GROUP BY 1")
-def all_section_texts(spark, sf_dir):
     return _section_texts(table(spark, sf_dir, "lineitem"))
 
 

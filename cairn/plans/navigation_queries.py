@@ -16,22 +16,11 @@ def _chunks(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("section_id"), F.col("l_linenumber").alias("seq"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("chunk_id"), F.col("l_partkey").alias("element_id"))
 
 
-_ANCHORS = "c_custkey % 3 = 0"
-
-
-@query("N1_document_sections", f"""
-WITH s AS (SELECT o_custkey AS document_id, o_orderkey AS section_id, row_number() OVER w AS rn, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE {_ANCHORS}) WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
-c AS (SELECT l_orderkey AS section_id, count(*) AS k FROM lineitem GROUP BY 1)
-SELECT document_id, section_id, rn::INTEGER AS rn, round(1 - (rn - 1) / n, 6) AS score, coalesce(k, 0) AS chunk_count FROM s LEFT JOIN c USING (section_id)""")
-def document_sections(spark, sf_dir):
-    return _document_sections(spark, sf_dir, table(spark, sf_dir, "customer").filter(_ANCHORS))
-
-
-@query("N1_all_document_sections", """
+@query("N1_document_sections", """
 WITH s AS (SELECT o_custkey AS document_id, o_orderkey AS section_id, row_number() OVER w AS rn, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer) WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
 c AS (SELECT l_orderkey AS section_id, count(*) AS k FROM lineitem GROUP BY 1)
 SELECT document_id, section_id, rn::INTEGER AS rn, round(1 - (rn - 1) / n, 6) AS score, coalesce(k, 0) AS chunk_count FROM s LEFT JOIN c USING (section_id)""")
-def all_document_sections(spark, sf_dir):
+def document_sections(spark, sf_dir):
     return _document_sections(spark, sf_dir, table(spark, sf_dir, "customer"))
 
 
@@ -41,17 +30,10 @@ def _document_sections(spark, sf_dir, customers):
     return rows.select("document_id", "section_id", F.col("rn").cast("int").alias("rn"), F.round("score", 6).alias("score"), "chunk_count")
 
 
-@query("N2_document_chunks", f"""
-WITH c AS (SELECT o_custkey AS document_id, l_orderkey * 10 + l_linenumber AS chunk_id, row_number() OVER w AS rn, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE {_ANCHORS}) WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, l_orderkey, l_linenumber, l_orderkey * 10 + l_linenumber))
-SELECT document_id, chunk_id, rn::INTEGER AS rn, round(1 - (rn - 1) / n, 6) AS score FROM c""")
-def document_chunks(spark, sf_dir):
-    return _document_chunks(spark, sf_dir, table(spark, sf_dir, "customer").filter(_ANCHORS))
-
-
-@query("N2_all_document_chunks", """
+@query("N2_document_chunks", """
 WITH c AS (SELECT o_custkey AS document_id, l_orderkey * 10 + l_linenumber AS chunk_id, row_number() OVER w AS rn, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey IN (SELECT c_custkey FROM customer) WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, l_orderkey, l_linenumber, l_orderkey * 10 + l_linenumber))
 SELECT document_id, chunk_id, rn::INTEGER AS rn, round(1 - (rn - 1) / n, 6) AS score FROM c""")
-def all_document_chunks(spark, sf_dir):
+def document_chunks(spark, sf_dir):
     return _document_chunks(spark, sf_dir, table(spark, sf_dir, "customer"))
 
 
@@ -87,16 +69,8 @@ def roll_up(spark, sf_dir):
 
 @query("N15_context_window", """
 WITH r AS (SELECT l_orderkey AS section_id, l_orderkey * 10 + l_linenumber AS chunk_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS rn FROM lineitem)
-SELECT a.chunk_id AS anchor, b.chunk_id, round(1 - abs(b.rn - a.rn) / 3.0, 6) AS score FROM r a JOIN r b ON a.section_id = b.section_id AND abs(b.rn - a.rn) BETWEEN 1 AND 2 WHERE a.chunk_id % 97 = 0""")
-def context_window(spark, sf_dir):
-    rows = _chunks(spark, sf_dir)
-    return N.context_window(rows.filter("chunk_id % 97 = 0"), rows, "section_id", ["seq"], "chunk_id", 2).select("anchor", "chunk_id", F.round("score", 6).alias("score"))
-
-
-@query("N15_all_context_windows", """
-WITH r AS (SELECT l_orderkey AS section_id, l_orderkey * 10 + l_linenumber AS chunk_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS rn FROM lineitem)
 SELECT a.chunk_id AS anchor, b.chunk_id, round(1 - abs(b.rn - a.rn) / 3.0, 6) AS score FROM r a JOIN r b ON a.section_id = b.section_id AND abs(b.rn - a.rn) BETWEEN 1 AND 2""")
-def all_context_windows(spark, sf_dir):
+def context_window(spark, sf_dir):
     rows = _chunks(spark, sf_dir)
     return N.context_window(rows, rows, "section_id", ["seq"], "chunk_id", 2).select("anchor", "chunk_id", F.round("score", 6).alias("score"))
 
