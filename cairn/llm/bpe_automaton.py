@@ -27,9 +27,11 @@ from pyspark.sql import functions as F
 
 from cairn.llm.runtime import pieces, text_bytes, trim
 
-#: Distinct pieces of text, words and transitions that a worker remembers during a task (about 150 MB), and the longest text among them in bytes.
-CACHE, WORDS, TRANSITIONS, CACHED_BYTES = 300_000, 200_000, 300_000, 64
-CHUNK_BYTES = 1 << 20
+#: Distinct pieces of text, words, transitions and dates of arcs that a worker remembers during a task (about 150 MB), and the longest text among them in bytes.
+CACHE, WORDS, TRANSITIONS, DATES, CACHED_BYTES = 350_000, 200_000, 450_000, 100_000, 64
+CHUNK_BYTES = 1 << 19
+#: Positions times words that are read at a time.
+CELLS = 1 << 19
 _NEVER = 1 << 60
 _START = -1
 #: A word's end is a symbol of its own.
@@ -139,7 +141,7 @@ class Automaton:
             date = was if was <= x else _NEVER
         if date == _NEVER:
             date = self.dates.get((state, label), _NEVER)
-        if len(self._lost) >= TRANSITIONS:
+        if len(self._lost) >= DATES:
             self._lost.clear()
         self._lost[state << 32 | label] = date
         return date
@@ -147,24 +149,24 @@ class Automaton:
     def _clear(self) -> None:
         """Back to the first state alone."""
         self.table = _Table(TRANSITIONS)
-        #: For each state the arc read to its end, and the arcs (left from, node) read in part.
+        #: For each state the arc read to its end, and the arcs read in part: left from << 32 | node.
         self.read_arc = np.full(TRANSITIONS + 2, _START, np.int32)
-        self._partial: list[tuple[tuple[int, int], ...]] = [()]
+        self._partial: list[tuple[int, ...]] = [()]
         self._state: dict[tuple, int] = {(_START, ()): 0}
 
     def _transition(self, key: int) -> int:
         """Computes where a state goes with a symbol, and enters it into the table; key is state << 9 | symbol."""
         state, symbol = key >> 9, key & 511
         whole, partial = None, []
-        for left, node in (*self._partial[state], (int(self.read_arc[state]), 0)):
-            node = self._tree.get(node << 9 | symbol)
+        for arc in (*self._partial[state], int(self.read_arc[state]) << 32):
+            left, node = arc >> 32, self._tree.get((arc & 0xFFFFFFFF) << 9 | symbol)
             if node is None:
                 continue
             label = self._token[node]
             if label >= 0 and (left == _START or self.lost(left, label) == _NEVER):
                 whole = label
             if self._inner[node]:
-                partial.append((left, node))
+                partial.append(left << 32 | node)
         if whole is None:
             raise ValueError(f"no token reads symbol {symbol}")
         name = (whole, tuple(partial))
@@ -181,7 +183,7 @@ class Automaton:
         out: list[bytes] = [b""] * len(words)
         order = sorted((i for i, w in enumerate(words) if w), key=lambda i: -len(words[i]))
         while order:  # longest first, in runs whose matrices stay small
-            take = max(1, min(len(order), (1 << 22) // (len(words[order[0]]) + 1)))
+            take = max(1, min(len(order), CELLS // (len(words[order[0]]) + 1)))
             for i, ids in zip(order[:take], self._read([words[i] for i in order[:take]])):
                 out[i] = ids
             order = order[take:]
@@ -191,7 +193,7 @@ class Automaton:
         sizes = np.array(list(map(len, words)))
         row = np.repeat(np.arange(len(words)), sizes)
         at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        symbols = np.full((sizes[0] + 1, len(words)), _END, np.int64)
+        symbols = np.full((sizes[0] + 1, len(words)), _END, np.uint16)
         symbols[at, row] = np.frombuffer(b"".join(words), np.uint8)
         if self.table.room <= 0:
             self._clear()
@@ -330,6 +332,7 @@ class Automaton:
         """Drops what is known of pieces and words at a task's end, as the worker may go on with other operators; the automaton stays."""
         self._piece.clear()
         self._word = {}
+        self._lost = {}
 
     def encode_all(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of whole texts in UTF-8. ASCII white space ends words, so pieces between it stand alone."""
