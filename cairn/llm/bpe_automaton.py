@@ -101,6 +101,8 @@ class Automaton:
             symbols = [self._byte[c] for c in (t.removesuffix(suffix) if ends else t)] + [_END] * ends
             self.length[i] = len(symbols)
             self._grow(symbols, i)
+        #: Pieces, and words, that are remembered at most.
+        self.most = CACHE
         self._word: dict[bytes, bytes] = {}
         self._lost: dict[int, int] = {}
         self._clear()
@@ -286,7 +288,7 @@ class Automaton:
     def _known(self, words: set[bytes]) -> dict[bytes, bytes]:
         """A dictionary that has the ids of the words."""
         new = [w for w in words if w not in self._word]
-        if len(self._word) + len(new) > WORDS:
+        if len(self._word) + len(new) > min(WORDS, self.most):
             self._word = {}
             new = list(words)
         self._word.update(zip(new, self.read(new)))
@@ -315,7 +317,7 @@ class Automaton:
         """Encodes the pieces that are not known yet, all at once."""
         known = self._piece
         new = [p for p in set(pieces) if p not in known and len(p) <= CACHED_BYTES]
-        if len(known) + len(new) > CACHE:
+        if len(known) + len(new) > self.most:
             known.clear()
             new = [p for p in set(pieces) if len(p) <= CACHED_BYTES]
         if self._simple:
@@ -329,10 +331,15 @@ class Automaton:
         known.update(zip([new[i] for i in plain], self._plain([texts[i] for i in plain])))
 
     def forget(self) -> None:
-        """Drops what is known of pieces and words at a task's end, as the worker may go on with other operators; the automaton stays."""
+        """Drops what is known of pieces and words at a task's end, as the worker may go on with other operators.
+
+        The automaton's table stays, unless little is to be remembered.
+        """
         self._piece.clear()
         self._word = {}
         self._lost = {}
+        if self.most < CACHE:
+            self._clear()
 
     def encode_all(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of whole texts in UTF-8. ASCII white space ends words, so pieces between it stand alone."""
@@ -403,9 +410,10 @@ def automaton(path: str) -> Automaton:
     return _OPEN[path]
 
 
-def _each(path: str, make, names: list[str]):
+def _each(path: str, make, names: list[str], remember: int = CACHE):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = automaton(path)
+        a.most = remember
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
             for i, j in pieces(offsets, CHUNK_BYTES):
@@ -421,8 +429,11 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids array<int>), a row for each row of docs; null and empty texts, and white space, have no ids."""
+def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", remember: int = CACHE) -> DataFrame:
+    """(doc_id, ids array<int>), a row for each row of docs; null and empty texts, and white space, have no ids.
+
+    remember bounds the pieces and words that a worker keeps during a task: fewer take less memory and more time.
+    """
 
     def make(a: Automaton, texts: list[bytes]) -> list[pa.Array]:
         ids = a.encode_all(texts)
@@ -430,7 +441,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32)))]
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return _texts(docs, id_col, text_col).mapInArrow(_each(path, make, ["doc_id", "ids"]), f"doc_id {kind}, ids array<int>")
+    return _texts(docs, id_col, text_col).mapInArrow(_each(path, make, ["doc_id", "ids"], remember), f"doc_id {kind}, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
