@@ -54,7 +54,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids) of every document."""
-    ids = bpe_automaton.encode_documents(docs, tokenizer_path())
+    ids = bpe_automaton.encode_documents(docs, tokenizer_path(), remember=60_000)  # beside what other stages left
     return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
