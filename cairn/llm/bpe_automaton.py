@@ -16,6 +16,7 @@ arcs that end at a word's last position, where that one starts, and so on backwa
 
 from __future__ import annotations
 
+import gc
 import json
 from collections.abc import Iterator
 
@@ -27,8 +28,10 @@ from pyspark.sql import functions as F
 
 from cairn.llm.runtime import pieces, text_bytes, trim
 
-#: Distinct pieces of text, words, transitions and dates of arcs that a worker remembers during a task (about 150 MB), and the longest text among them in bytes.
-CACHE, WORDS, TRANSITIONS, DATES, CACHED_BYTES = 350_000, 200_000, 450_000, 100_000, 64
+#: Distinct pieces of text, words, transitions and dates of arcs that a worker remembers (about 350 MB), and the longest text among them in bytes.
+CACHE, WORDS, TRANSITIONS, DATES, CACHED_BYTES = 700_000, 500_000, 1_000_000, 100_000, 64
+#: Transitions for each piece that a caller lets a worker remember.
+_PER_PIECE = 8
 CHUNK_BYTES = 1 << 19
 #: Positions times words that are read at a time.
 CELLS = 1 << 19
@@ -54,7 +57,7 @@ _MARKS = b".,!?;:*#$%&"
 class Automaton:
     """Encoder and decoder for a byte-level tokenizer file with word ends."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHE):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -102,7 +105,7 @@ class Automaton:
             self.length[i] = len(symbols)
             self._grow(symbols, i)
         #: Pieces, and words, that are remembered at most.
-        self.most = CACHE
+        self.most = most
         self._word: dict[bytes, bytes] = {}
         self._lost: dict[int, int] = {}
         self._clear()
@@ -150,9 +153,10 @@ class Automaton:
 
     def _clear(self) -> None:
         """Back to the first state alone."""
-        self.table = _Table(TRANSITIONS)
+        room = min(TRANSITIONS, self.most * _PER_PIECE)
+        self.table = _Table(room)
         #: For each state the arc read to its end, and the arcs read in part: left from << 32 | node.
-        self.read_arc = np.full(TRANSITIONS + 2, _START, np.int32)
+        self.read_arc = np.full(room + 2, _START, np.int32)
         self._partial: list[tuple[int, ...]] = [()]
         self._state: dict[tuple, int] = {(_START, ()): 0}
 
@@ -330,17 +334,6 @@ class Automaton:
         plain = [i for i, t in enumerate(texts) if not self._special.search(t)]
         known.update(zip([new[i] for i in plain], self._plain([texts[i] for i in plain])))
 
-    def forget(self) -> None:
-        """Drops what is known of pieces and words at a task's end, as the worker may go on with other operators.
-
-        The automaton's table stays, unless little is to be remembered.
-        """
-        self._piece.clear()
-        self._word = {}
-        self._lost = {}
-        if self.most < CACHE:
-            self._clear()
-
     def encode_all(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of whole texts in UTF-8. ASCII white space ends words, so pieces between it stand alone."""
         split = [t.split() for t in texts]
@@ -412,14 +405,15 @@ def automaton(path: str) -> Automaton:
 
 def _each(path: str, make, names: list[str], remember: int = CACHE):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = automaton(path)
-        a.most = remember
+        a = automaton(path) if remember >= CACHE else Automaton(path, remember)
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
             for i, j in pieces(offsets, CHUNK_BYTES):
                 texts = [data[offsets[r] : offsets[r + 1]].tobytes() for r in range(i, j)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *make(a, texts)], names=names)
-        a.forget()
+        if remember < CACHE:  # the worker may go on with other operators: nothing stays
+            del a
+            gc.collect()
         trim()
 
     return run
@@ -432,7 +426,8 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", remember: int = CACHE) -> DataFrame:
     """(doc_id, ids array<int>), a row for each row of docs; null and empty texts, and white space, have no ids.
 
-    remember bounds the pieces and words that a worker keeps during a task: fewer take less memory and more time.
+    remember bounds the pieces and words that a worker keeps: fewer take less memory and more time. Below CACHE the
+    automaton is compiled for each task (0.3 s) and dropped at its end.
     """
 
     def make(a: Automaton, texts: list[bytes]) -> list[pa.Array]:
