@@ -13,7 +13,9 @@ Every 64th set bit's position is stored, so select(i) counts the bits of a few w
 from __future__ import annotations
 
 import json
+import re
 import struct
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -119,16 +121,39 @@ class Block:
 #: ASCII marks that may end a piece and never join with a letter before them. Apostrophes and what special strings
 #: hold are not among them.
 _MARKS = b".,!?;:*#$%&"
+_AFTER = re.compile(rb"(?<=[A-Za-z0-9])[" + re.escape(_MARKS) + rb"]+(?!\S)")
+
+
+def words(text: bytes) -> list[bytes]:
+    """The pieces of a text that can be encoded one by one: between ASCII white space, marks at an end apart.
+
+    Texts of ASCII are lower-cased, as the tokenizer does; beyond ASCII it composes letters first, which case can
+    change. A text that may hold a special string stays as it is.
+    """
+    if b"<" in text or b"|" in text:
+        return text.split()
+    if text.isascii():
+        text = text.lower()
+    return _AFTER.sub(rb" \g<0>", text).split()
+
+
+def _folded(piece: bytes) -> bytes:
+    return piece.lower() if piece.isascii() else piece
+
+
+def _letters(c: str) -> bool:
+    """Whether a character is letters only in the form that the tokenizer splits: composed, in lower case."""
+    return unicodedata.normalize("NFC", c).lower().isalpha()
 
 
 class _Pieces(dict):
     """Text between ASCII white space -> its ids as bytes. White space ends words and is dropped, so it stands alone.
 
-    Pieces that differ in the case of ASCII letters, or in marks after a letter, share what the library says of
-    the letters: the tokenizer lower-cases, and splits letters from marks.
+    Pieces of ASCII that differ in the case of letters, and pieces that differ in marks after a letter, share what the
+    library says of the letters: the tokenizer lower-cases, and splits letters from marks.
     """
 
-    MOST, STEMS, BYTES = 700_000, 400_000, 64
+    MOST, BYTES = 1_000_000, 64
 
     def __init__(self, path: str):
         import os
@@ -139,7 +164,6 @@ class _Pieces(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.stems: dict[bytes, bytes] = {}
         suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
         vocab = self.tokenizer.get_vocab()
         #: whether an id ends a word, where the file marks that
@@ -149,8 +173,9 @@ class _Pieces(dict):
 
     def encode(self, stems: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """(stem, ids) of each. Stems of letters are one word each, so many are encoded as one text and cut at word ends."""
-        plain = [w for w in stems if w.decode().isalpha()]
-        alone = [w for w in stems if not w.decode().isalpha()]
+        plain, alone = [], []
+        for w in stems:
+            (plain if w.isalpha() or not w.isascii() and w.decode().isalpha() else alone).append(w)
         for i in range(0, len(plain), 512):
             group = plain[i : i + 512]
             ids = np.array(self.tokenizer.encode(b" ".join(group).decode(), add_special_tokens=False).ids, "<u4")
@@ -168,24 +193,22 @@ class _Pieces(dict):
         if b"<" in piece or b"|" in piece:
             return piece, b""
         stem = piece.rstrip(_MARKS)
-        if len(stem) < len(piece) and (stem[-1:].isalnum() or (stem[-1:] >= b"\x80" and stem.decode()[-1].isalpha())):
-            return stem.lower(), piece[len(stem) :]
-        return piece.lower(), b""
-
-    def learn(self, words: list[bytes]) -> None:
-        """Encodes what is not known yet in one call."""
-        new = [w for w in set(words) if w not in self and len(w) <= self.BYTES]
+        if len(stem) < len(piece) and (stem[-1:].isalnum() or (stem[-1:] >= b"\x80" and _letters(stem.decode()[-1]))):
+            return _folded(stem), piece[len(stem) :]
+        return _folded(piece), b""
+
+    def learn(self, texts: list[list[bytes]]) -> None:
+        """Encodes what is not known yet of the texts' pieces in one call."""
+        met = set().union(*texts)
+        new = [w for w in met if w not in self and len(w) <= self.BYTES]
         if len(self) + len(new) > self.MOST:
             self.clear()
-            new = [w for w in set(words) if len(w) <= self.BYTES]
-        parts = [self.parts(w) for w in new]
-        unknown = list({p for x in parts for p in x if p not in self.stems})
-        if len(self.stems) + len(unknown) > self.STEMS:
-            self.stems.clear()
-            unknown = list({p for x in parts for p in x})
-        self.stems.update(self.encode(unknown))
-        for w, (stem, marks) in zip(new, parts):
-            self[w] = self.stems[stem] + self.stems[marks]
+            new = [w for w in met if len(w) <= self.BYTES]
+        whole = [w for w in new if w.isalpha() and w.islower()]
+        self.update(self.encode(whole))
+        rest = [(w, *self.parts(w)) for w in new if not (w.isalpha() and w.islower())]
+        self.update(self.encode(list({p for _, *parts in rest for p in parts if p not in self})))
+        self.update((w, self[stem] + self[marks]) for w, stem, marks in rest if stem != w)
 
     def __missing__(self, word: bytes) -> bytes:
         return array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
@@ -204,9 +227,9 @@ def _encoded(path: str, end_id: int, bounds: list[int]):
             data, offsets = text_bytes(batch.column(1))
             for i, j in pieces(offsets, CHUNK_BYTES):
                 docs = batch.column(0).slice(i, j - i)
-                words = [data[offsets[r] : offsets[r + 1]].tobytes().split() for r in range(i, j)]
-                known.learn([w for ws in words for w in ws])
-                ids = [np.frombuffer(b"".join(map(known.__getitem__, ws)) + end, "<u4") for ws in words]
+                texts = [words(data[offsets[r] : offsets[r + 1]].tobytes()) for r in range(i, j)]
+                known.learn(texts)
+                ids = [np.frombuffer(b"".join(map(known.__getitem__, ws)) + end, "<u4") for ws in texts]
                 width = [2 if x.max() < 1 << 16 else 4 for x in ids]
                 ids = [x.astype(f"<u{w}").tobytes() for x, w in zip(ids, width)]
                 bucket = np.searchsorted(np.array(bounds, np.int64), docs.to_numpy(), "right").astype(np.int32)

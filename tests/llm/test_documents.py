@@ -329,3 +329,19 @@ def test_deep_and_broken_pages():
     assert visible_text("<div>" * 50_000 + "x") == "x"
     assert "x" in visible_text("<table><tr><td>" * 500 + "x")
     assert isinstance(visible_text('<p "' * 5000 + "<a href='"), str)
+
+
+def test_store_pieces_equal_the_library_for_every_code_point():
+    from tokenizers import Tokenizer
+
+    from cairn.llm import token_store
+    from cairn.llm.runtime import tokenizer_path
+
+    library, known = Tokenizer.from_file(tokenizer_path()), token_store._Pieces(tokenizer_path())
+    points = [c for c in range(1, 0x32000) if not 0xD800 <= c < 0xE000]
+    for i in range(0, len(points), 5000):
+        texts = [f"A{chr(c)}, b{chr(c)}.B {chr(c)}1! J̌ <|EndOfText|>" for c in points[i : i + 5000]]
+        split = [token_store.words(t.encode()) for t in texts]
+        known.learn(split)
+        for ws, e in zip(split, library.encode_batch_fast(texts, add_special_tokens=False)):
+            assert np.frombuffer(b"".join(map(known.__getitem__, ws)), "<u4").tolist() == e.ids
