@@ -74,7 +74,8 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.llm.near_dedup import near_duplicates
 
-    return near_duplicates(_table(spark, sf_dir, "documents"), k=3, percent=85)
+    # what tells apart several texts of one id stays with the operator: the SQL has these columns alone
+    return near_duplicates(_table(spark, sf_dir, "documents"), k=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
