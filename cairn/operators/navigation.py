@@ -142,9 +142,17 @@ def descendants(nodes: DataFrame, root, key: str, parent: str, max_depth: int =
     return nodes.sparkSession.sql(sql, rows=rows, root=root, most=max_depth).withColumnRenamed("k", key)
 
 
-def position(chunks: DataFrame, elements: DataFrame) -> DataFrame:
-    """Each chunk's elements in order with their boxes, and the page to open."""
-    ids = chunks.select("chunk_id", F.col("page_index").alias("chunk_page"), F.posexplode("element_ids").alias("ord", "element_id"))
-    met = ids.join(elements.select("element_id", F.col("page_index").alias("element_page"), "page_position"), "element_id", "left")
-    out = met.groupBy("chunk_id", "chunk_page").agg(F.array_sort(F.collect_list(F.struct("ord", "element_id", "page_position"))).alias("elements"), F.min_by("element_page", F.when(F.col("element_page").isNotNull(), F.col("ord"))).alias("page"))
+def position(chunks: DataFrame, elements: DataFrame, page_order: str | None = None) -> DataFrame:
+    """Each chunk's known elements in order with their boxes, and the page to open: that of the first element with one.
+
+    page_order names an array beside element_ids by which an element comes first for the page, where the list's own order
+    doesn't decide; of equal ones the list's first does.
+    """
+    order = F.get(page_order, F.col("ord")) if page_order else F.lit(0)
+    ids = chunks.select("chunk_id", F.col("page_index").alias("chunk_page"), F.posexplode("element_ids").alias("ord", "element_id"), *([page_order] if page_order else []))
+    ids = ids.select("chunk_id", "chunk_page", "ord", "element_id", order.alias("page_order"))
+    met = ids.join(elements.select("element_id", F.col("page_index").alias("element_page"), "page_position", F.lit(True).alias("known")), "element_id", "left")
+    shown = F.when(F.col("known"), F.struct("ord", "element_id", "page_position"))
+    page = F.min_by("element_page", F.when(F.col("element_page").isNotNull(), F.struct("page_order", "ord")))
+    out = met.groupBy("chunk_id", "chunk_page").agg(F.array_sort(F.collect_list(shown)).alias("elements"), page.alias("page"))
     return out.withColumn("page", F.coalesce("page", "chunk_page"))
