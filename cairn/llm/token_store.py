@@ -19,6 +19,7 @@ import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -121,18 +122,22 @@ class Block:
 #: ASCII marks that may end a piece and never join with a letter before them. Apostrophes and what special strings
 #: hold are not among them.
 _MARKS = b".,!?;:*#$%&"
-_AFTER = re.compile(rb"(?<=[A-Za-z0-9])[" + re.escape(_MARKS) + rb"]+(?!\S)")
+_MARK = rb"[" + re.escape(_MARKS) + rb"]"
+#: Begins with the mark, as such patterns are searched for much faster than ones that look behind first.
+_AFTER = re.compile(_MARK + rb"(?<=[A-Za-z0-9]" + _MARK + rb")" + _MARK + rb"*(?!\S)")
+#: Words of the letters a-z and U+00DF-U+00FF, which no normalizer of case or composition changes.
+_LATIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
 
 
 def words(text: bytes) -> list[bytes]:
     """The pieces of a text that can be encoded one by one: between ASCII white space, marks at an end apart.
 
-    Texts of ASCII are lower-cased, as the tokenizer does; beyond ASCII it composes letters first, which case can
-    change. A text that may hold a special string stays as it is.
+    Letters of ASCII are lower-cased, as the tokenizer does, unless the text holds marks of U+0300-U+036F: it composes
+    letters with those first, which case can change. A text that may hold a special string stays as it is.
     """
     if b"<" in text or b"|" in text:
         return text.split()
-    if text.isascii():
+    if b"\xcc" not in text and b"\xcd" not in text:
         text = text.lower()
     return _AFTER.sub(rb" \g<0>", text).split()
 
@@ -170,23 +175,47 @@ class _Pieces(dict):
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         if suffix:
             self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
-
-    def encode(self, stems: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        """(stem, ids) of each. Stems of letters are one word each, so many are encoded as one text and cut at word ends."""
-        plain, alone = [], []
+        self.bare = self._bare()
+
+    def _bare(self):
+        """The model behind a splitter at white space alone, for _LATIN words; None if the file treats those in another way."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        upper, lower = (bytes(r).decode("latin-1") for r in ([*range(65, 91), *range(192, 215), *range(216, 223)], [*range(97, 123), *range(223, 247), *range(248, 256)]))
+        normal, split = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        if normal is None or split is None or not self.ends.any():
+            return None
+        if normal.normalize_str(f"{lower} {upper}") != f"{lower} {upper.lower()}":
+            return None
+        bare = Tokenizer(self.tokenizer.model)
+        to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        if [w for w, _ in split.pre_tokenize_str(lower)] != [w for w, _ in to_bytes.pre_tokenize_str(lower)]:
+            return None
+        bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), to_bytes])
+        return bare
+
+    def encode(self, stems: list[bytes]) -> None:
+        """Enters the ids of each. Stems of letters are one word each, so many are encoded as one text and cut at word ends."""
+        latin, letters, alone = [], [], []
         for w in stems:
-            (plain if w.isalpha() or not w.isascii() and w.decode().isalpha() else alone).append(w)
-        for i in range(0, len(plain), 512):
-            group = plain[i : i + 512]
-            ids = np.array(self.tokenizer.encode(b" ".join(group).decode(), add_special_tokens=False).ids, "<u4")
-            cuts = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
-            if len(cuts) == len(group) + 1 and cuts[-1] == 4 * len(ids):
-                raw = ids.tobytes()
-                yield from zip(group, (raw[a:b] for a, b in zip(cuts, cuts[1:])))
+            if self.bare and (w.isalpha() and w.islower() or _LATIN(w)):
+                latin.append(w)
             else:
-                alone += group
+                (letters if w.isalpha() or not w.isascii() and w.decode().isalpha() else alone).append(w)
+        for tokenizer, plain in ((self.bare, latin), (self.tokenizer, letters)):
+            groups = [plain[i : i + 512] for i in range(0, len(plain), 512)]
+            for i in range(0, len(groups), 16):
+                run = groups[i : i + 16]
+                for group, e in zip(run, tokenizer.encode_batch_fast([b" ".join(g).decode() for g in run], add_special_tokens=False)):
+                    ids = np.array(e.ids, "<u4")
+                    cuts = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
+                    if len(cuts) == len(group) + 1 and cuts[-1] == 4 * len(ids):
+                        raw = ids.tobytes()
+                        self.update(zip(group, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
+                    else:
+                        alone += group
         for w, e in zip(alone, self.tokenizer.encode_batch_fast([w.decode() for w in alone], add_special_tokens=False)):
-            yield w, array("I", e.ids).tobytes()
+            self[w] = array("I", e.ids).tobytes()
 
     def parts(self, piece: bytes) -> tuple[bytes, bytes]:
         """What is encoded for a piece, in two parts."""
@@ -200,14 +229,18 @@ class _Pieces(dict):
     def learn(self, texts: list[list[bytes]]) -> None:
         """Encodes what is not known yet of the texts' pieces in one call."""
         met = set().union(*texts)
-        new = [w for w in met if w not in self and len(w) <= self.BYTES]
+        new = [w for w in filterfalse(self.__contains__, met) if len(w) <= self.BYTES]
         if len(self) + len(new) > self.MOST:
             self.clear()
             new = [w for w in met if len(w) <= self.BYTES]
-        whole = [w for w in new if w.isalpha() and w.islower()]
-        self.update(self.encode(whole))
-        rest = [(w, *self.parts(w)) for w in new if not (w.isalpha() and w.islower())]
-        self.update(self.encode(list({p for _, *parts in rest for p in parts if p not in self})))
+        whole, rest = [], []
+        for w in new:
+            if w.isalpha() and w.islower() or _LATIN(w):
+                whole.append(w)
+            else:
+                rest.append((w, *self.parts(w)))
+        self.encode(whole)
+        self.encode(list({p for _, *parts in rest for p in parts if p not in self}))
         self.update((w, self[stem] + self[marks]) for w, stem, marks in rest if stem != w)
 
     def __missing__(self, word: bytes) -> bytes:
